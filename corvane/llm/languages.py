@@ -18,7 +18,7 @@ PROFILE = 500
 #: At most so many labelled documents of a language are read for its profile, of each at most so many characters.
 TRAINING_DOCS = 400
 ORDERS = (1, 2, 3)
-SURE = 0.04
+SURE = 0.07
 GRAMS_AT_ONCE = 400_000
 
 #: Names of languages as labels write them.
