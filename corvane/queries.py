@@ -1,0 +1,13 @@
+"""Queries of the core operators."""
+
+
+def flagship(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").limit(5)
+
+
+def queries():
+    return {}
+
+
+def oracle_sql():
+    return {}
