@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect
 from collections import Counter
 
 import pyarrow as pa
@@ -23,7 +24,7 @@ PER_DOCUMENT, STAY, TRUST = 6.0, 8.0, 4.0
 WORDS = re.compile(r"[぀-ヿ一-鿿]|[^\W_぀-ヿ一-鿿]+")
 ITEM = re.compile(r"\s*(?:[-*+•·▪◦●‣–—]\s|\(?\d{1,3}(?:\.\d{1,3})*[.)]\s|\(?[a-zA-Z]\)\s|[①-⑳]|\[[ xX]\])")
 CONTENTS = re.compile(r"\S.*?(?:\.{3,}|…{2,}|(?:\. ){3,}|·{3,}|_{3,})\s*\d+\s*$")
-CELL_MARKS = re.compile(r"\t|\s\|\s|</?t[dr]|;")
+CELL_MARKS = re.compile(r"[\t;]|\s\|\s|</?t[dr]")
 WIDE_GAPS = re.compile(r"\S {2,}(?=\S)")
 SENTENCE_END = re.compile(r"[.!?…。！？][\"'”’)\]»」』）]*(?:\s|$)")
 SYMBOLS = re.compile(r"[^\w\s.,;:!?'\"()\-。，、]")
@@ -31,34 +32,29 @@ DIGITS = re.compile(r"\d")
 MIXED = re.compile(r"[^\W\d_]\d|\d[^\W\d_]|[^\W_][!|@#$][^\W_]")
 
 
-def bucket(x: float, *edges: float) -> int:
-    return sum(x >= e for e in edges)
-
-
-def observe(line: str, low: str, words: list[str], known: set[str], common: set[str], seen: bool) -> tuple:
-    """The coarse statistics of one line."""
-    n, size = len(words), len(line)
+def observe(line: str, words: list[str], known: set[str], common: set[str], seen: bool) -> tuple[tuple, int, int, bool]:
+    """The coarse statistics of one line, each by its place in the tuple; common words, symbols, closed by a mark."""
+    n, size, body = len(words), len(line), line.strip()
     cells = len(CELL_MARKS.findall(line))
-    gaps = len(WIDE_GAPS.findall(line.strip())) if "  " in line else 0
-    form = 4 if line.lstrip().startswith("#") else 1 if ITEM.match(line) else 2 if CONTENTS.match(line) else 3 if line.lstrip().startswith(("###", "<!--")) else 0
-    table = bucket(cells + (gaps if gaps > 1 else 0), 1, 2, 4)
-    ends = SENTENCE_END.findall(line)
-    sentence = 0 if not ends else 1 if len(ends) * 60 < n else 2
-    tail = line.rstrip()[-1:]
+    gaps = len(WIDE_GAPS.findall(body)) if "  " in body else 0
+    form = 3 if body.startswith("<!--") else 4 if body[0] == "#" else 1 if ITEM.match(line) else 2 if body[-1].isdigit() and CONTENTS.match(line) else 0
+    table = bisect((1, 2, 4), cells + (gaps if gaps > 1 else 0))
+    ends = len(SENTENCE_END.findall(line))
+    sentence = 0 if not ends else 1 if ends * 60 < n else 2
+    tail = body[-1]
     close = 0 if tail in ".!?…。！？" else 1 if tail in ",;:，、" else 2 if tail.isalpha() else 3 if tail.isdigit() else 4
-    strange = sum(w not in known for w in words) / n if n else 1.0
-    usual = sum(w in common for w in words) / n if n else 0.0
-    marks = len(SYMBOLS.findall(line)) / size
-    numbers = len(DIGITS.findall(line)) / size
-    odd = len(MIXED.findall(line)) / max(n, 1)
-    variety = len(set(words)) / n if n else 1.0
-    length, common_share, unknown = bucket(n, 1, 4, 9, 25), bucket(usual, 0.02, 0.1, 0.2), bucket(strange, 0.1, 0.3, 0.6, 0.9)
-    return (
-        ("form", form), ("table", table), ("sentence", sentence), ("close", close), ("length", length),
-        ("strange", unknown), ("usual", common_share), ("marks", bucket(marks, 0.02, 0.08, 0.2, 0.5)),
-        ("speech", (common_share, sentence, length)), ("shape", (form, min(table, 2), sentence > 0)), ("noise", (unknown, bucket(odd, 0.05), sentence > 0)),
-        ("numbers", bucket(numbers, 0.02, 0.1, 0.3)), ("odd", bucket(odd, 0.05, 0.3)), ("variety", bucket(variety, 0.35, 0.6)) if n > 12 else ("variety", 3), ("seen", int(seen)), ("run", bucket(size / max(n, 1), 3, 9, 20, 60)),
+    usual, familiar = sum(map(common.__contains__, words)), sum(map(known.__contains__, words))
+    symbols = len(SYMBOLS.findall(line))
+    numbers = len(DIGITS.findall(line))
+    odd = len(MIXED.findall(line)) if numbers or symbols or "!" in line else 0
+    length, share, unknown = bisect((1, 4, 9, 25), n), bisect((0.02, 0.1, 0.2), usual / n if n else 0.0), bisect((0.1, 0.3, 0.6, 0.9), 1 - familiar / n if n else 1.0)
+    variety = bisect((0.35, 0.6), len(set(words)) / n) if n > 12 else 3
+    strange = bisect((0.05, 0.3), odd / n if n else 0.0)
+    seen_by = (
+        form, table, sentence, close, length, unknown, share, bisect((0.02, 0.08, 0.2, 0.5), symbols / size), bisect((0.02, 0.1, 0.3), numbers / size), strange, variety, int(seen), bisect((3, 9, 20, 60), size / (n or 1)),
+        share * 15 + sentence * 5 + length, form * 6 + min(table, 2) * 2 + (sentence > 0), unknown * 4 + min(strange, 1) * 2 + (sentence > 0),
     )
+    return seen_by, usual, symbols, close == 0
 
 
 def lines_of(text: str, known: set[str], common: set[str]) -> tuple[list[tuple], list[int], dict]:
@@ -66,19 +62,20 @@ def lines_of(text: str, known: set[str], common: set[str]) -> tuple[list[tuple],
     out, sizes, before = [], [], set()
     n_words = letters = usual = closed = symbols = 0
     for line in text.split("\n"):
-        if not line.strip():
-            continue
         low = line.lower()
-        words = WORDS.findall(low)
         key = low.strip()
-        out.append(observe(line, low, words, known, common, key in before and len(key) > 12))
+        if not key:
+            continue
+        words = WORDS.findall(low)
+        seen_by, common_here, symbols_here, ended = observe(line, words, known, common, len(key) > 12 and key in before)
+        out.append(seen_by)
         before.add(key)
         sizes.append(len(line) - line.count(" "))
         n_words += len(words)
-        letters += sum(map(len, words))
-        usual += sum(w in common for w in words)
-        closed += out[-1][3][1] == 0
-        symbols += len(SYMBOLS.findall(line))
+        letters += len("".join(words))
+        usual += common_here
+        symbols += symbols_here
+        closed += ended
     stats = {
         "words": n_words, "mean_word_length": letters / n_words if n_words else 0.0, "symbol_ratio": symbols / len(text) if text else 0.0,
         "closed_lines": closed / len(out) if out else 0.0, "common_words": usual / n_words if n_words else 0.0,
@@ -92,10 +89,8 @@ class LineModel:
     def __init__(self, emitted: Counter, moved: Counter):
         self.emitted, self.moved, self.memo = emitted, moved, {}
         self.totals = Counter()
-        self.values: dict[str, set] = {}
-        for (kind, (name, value)), c in emitted.items():
-            self.totals[kind, name] += c
-            self.values.setdefault(name, set()).add(value)
+        for (kind, place, _), c in emitted.items():
+            self.totals[kind, place] += c
         row = [sum(moved[j, k] for k in range(4)) for j in range(-1, 4)]
         self.start = [math.log((moved[-1, k] + 1) / (row[0] + 4)) for k in range(4)]
         self.move = [[math.log((moved[j, k] + (STAY if j == k else 1) * 2) / (row[j + 1] + (STAY + 3) * 2)) for k in range(4)] for j in range(4)]
@@ -103,7 +98,7 @@ class LineModel:
     def emission(self, seen: tuple) -> list[float]:
         got = self.memo.get(seen)
         if got is None:
-            got = [0.5 * sum(math.log((self.emitted[k, x] + 0.3) / (self.totals[k, x[0]] + 0.3 * 5)) for x in seen) for k in range(4)]
+            got = [0.5 * sum(math.log((self.emitted[k, i, x] + 0.3) / (self.totals[k, i] + 0.3 * 5)) for i, x in enumerate(seen)) for k in range(4)]
             if len(self.memo) < 200_000:
                 self.memo[seen] = got
         return got
@@ -138,8 +133,8 @@ class LineModel:
             for kind, weight in votes.items():
                 last = -1
                 for seen in lines:
-                    for x in seen:
-                        emitted[kind, x] += weight * PER_DOCUMENT / len(lines)
+                    for i, x in enumerate(seen):
+                        emitted[kind, i, x] += weight * PER_DOCUMENT / len(lines)
                     moved[last, kind] += weight * PER_DOCUMENT / len(lines)
                     last = kind
         model = cls(emitted, moved)
@@ -150,8 +145,8 @@ class LineModel:
                 bonus = [math.log((votes.get(k, 0.0) + 0.15) / (total + 0.6)) * TRUST / max(1.0, len(lines) ** 0.5) for k in range(4)]
                 last = -1
                 for seen, kind in zip(lines, model.decode(lines, bonus)):
-                    for x in seen:
-                        emitted[kind, x] += PER_DOCUMENT / len(lines)
+                    for i, x in enumerate(seen):
+                        emitted[kind, i, x] += PER_DOCUMENT / len(lines)
                     moved[last, kind] += PER_DOCUMENT / len(lines)
                     last = kind
             model = cls(emitted, moved)
@@ -164,18 +159,14 @@ def corpus_words(documents: DataFrame, text_col: str, lang_col: str | None) -> t
 
     def run(batches):
         for batch in batches:
-            counts: Counter[tuple[str, str]] = Counter()
-            total: Counter[str] = Counter()
+            counts: dict[str, Counter[str]] = {"": Counter()}
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words = Counter(WORDS.findall(text.lower()))
-                total.update(words)
+                words = WORDS.findall(text.lower())
+                counts[""].update(words)
                 if lang:
-                    counts.update((lang, w) for w in words if len(w) <= 12)
-            langs = [""] * len(total) + [a for a, _ in counts]
-            words = [*total, *(w for _, w in counts)]
-            keep = [i for i, w in enumerate(words) if len(w) <= 40]
-            n = [*total.values(), *counts.values()]
-            yield pa.RecordBatch.from_arrays([pa.array([langs[i] for i in keep]), pa.array([words[i] for i in keep]), pa.array([n[i] for i in keep], pa.int64())], names=["lang", "word", "n"])
+                    counts.setdefault(lang, Counter()).update(set(words))
+            rows = [(lang, word, n) for lang, c in counts.items() for word, n in c.items() if len(word) <= (12 if lang else 40)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64())], names=["lang", "word", "n"])
 
     lang = F.lower(F.trim(F.col(lang_col))) if lang_col else F.lit(None).cast("string")
     counts = documents.where(F.length(text_col) > 0).select(F.col(text_col).alias("t"), F.when(F.length(lang) <= 3, lang).alias("l")).mapInArrow(run, "lang string, word string, n bigint")
