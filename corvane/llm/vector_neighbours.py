@@ -12,12 +12,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from corvane.plans.lineage import cut
+
 DIM, K = 64, 10
-LIST_SIZE, MAX_LISTS, LISTS_IN_CELL = 200, 4096, 64
-PROBES, RERANKED = 8, 48
-SUBSPACES, CODES = 16, 64
+LIST_SIZE, MAX_LISTS, LISTS_IN_CELL = 200, 4096, 24
+#: Lists searched for a query, and members of one list and of one cell that are ranked exactly.
+PROBES, FROM_LIST, RERANKED = 8, 32, 96
+SUBSPACES, CODES = 32, 16
 #: The quantisers are fitted on at most so many vectors.
-TRAINING = 60_000
+TRAINING = 40_000
 ROWS_IN_BLOCK = 40_000
 
 
@@ -28,16 +31,16 @@ def usable(vectors: DataFrame, id_col: str = "id", vector_col: str = "embedding"
     rows = vectors.select(F.col(id_col).cast("string").alias("id"), F.col(vector_col).alias("v"), F.col(time_col).alias("t")).where(
         F.col("id").isNotNull() & x.isNotNull() & (F.size(x) == dim) & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf"))) & (F.array_min(x) != F.array_max(x))
     )
-    # Only ids are shuffled to find those that repeat; few do, and the vectors of the others stay where they are.
-    repeated = rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id")
-    last = rows.join(repeated, "id", "left_semi").groupBy("id").agg(F.max(F.struct("t", "v")).alias("kept")).select("id", "kept.v")
-    return rows.join(repeated, "id", "left_anti").select("id", "v").union(last)
+    last = rows.groupBy("id").agg(F.max(F.struct("t", "v")).alias("kept"))
+    return cut(last.select("id", "kept.v"))
 
 
 def without_far_copies(rows: DataFrame, k: int) -> DataFrame:
     """Of rows with one and the same vector, only the k + 1 least ids can be among anyone's k nearest."""
     h = rows.select("id", F.xxhash64("v").alias("h"))
     crowd = h.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > k + 1).select("h")
+    if crowd.isEmpty():
+        return rows
     place = F.row_number().over(Window.partitionBy("h").orderBy("id"))
     kept = h.join(crowd, "h", "left_semi").withColumn("r", place).where(F.col("r") <= k + 1).select("id")
     crowded = rows.withColumn("h", F.xxhash64("v")).join(crowd, "h", "left_semi").drop("h").join(kept, "id", "left_semi")
@@ -127,28 +130,39 @@ def search_cell(index: Index, cell: int, members: pa.Table, queries: pa.Table, k
         pairs_l = np.array([i for p in probes for i in p], np.int64)
         order = np.argsort(pairs_l, kind="stable")
         pairs_q, pairs_l = pairs_q[order], pairs_l[order]
-        best_q, best_m, best_c = [], [], []
+        near_q, near_m, near_s = [], [], []
         first = np.flatnonzero(np.concatenate([[True], pairs_l[1:] != pairs_l[:-1]])) if len(pairs_l) else []
         for a, b in zip(first, np.append(first[1:], len(pairs_l))):
             if int(pairs_l[a]) not in ends:
                 continue
             s, e = ends[int(pairs_l[a])]
             inside = by_list[s:e]
-            for c in range(a, b, 1024):  # blocks of queries
-                own = pairs_q[c : min(b, c + 1024)]
-                tables = np.stack([q32[own][:, m * width : (m + 1) * width] @ index.books[m].T for m in range(SUBSPACES)], 1)
-                score = np.zeros((len(own), len(inside)), np.float32)
+            own_codes = [np.ascontiguousarray(codes[inside, m]) for m in range(SUBSPACES)]
+            for c in range(a, b, 512):  # blocks of queries
+                own = pairs_q[c : min(b, c + 512)]
+                score = np.repeat((q32[own] @ index.centroids[int(pairs_l[a])])[:, None], len(inside), 1)
                 for m in range(SUBSPACES):
-                    score += tables[:, m, :][:, codes[inside, m]]
-                r = min(RERANKED, len(inside))
+                    table = q32[own][:, m * width : (m + 1) * width] @ index.books[m].T
+                    score += np.take(table, own_codes[m], axis=1)
+                r = min(FROM_LIST, len(inside))
                 top = np.argpartition(-score, r - 1, axis=1)[:, :r]
-                chosen = inside[top]
-                exact = np.einsum("qd,qrd->qr", q[own], x[chosen])
+                near_q.append(np.repeat(own, r))
+                near_m.append(inside[top].ravel())
+                near_s.append(np.take_along_axis(score, top, 1).ravel())
+        best_q, best_m, best_c = [], [], []
+        if near_q:
+            nq, nm, ns = np.concatenate(near_q), np.concatenate(near_m), np.concatenate(near_s)
+            order = np.lexsort((-ns, nq))
+            nq, nm = nq[order], nm[order]
+            start = np.flatnonzero(np.concatenate([[True], nq[1:] != nq[:-1]]))
+            kept = np.arange(len(nq)) - np.repeat(start, np.diff(np.append(start, len(nq)))) < RERANKED
+            nq, nm = nq[kept], nm[kept]
+            for a in range(0, len(nq), 100_000):
+                exact = np.einsum("nd,nd->n", q[nq[a : a + 100_000]], x[nm[a : a + 100_000]])
                 keep = exact >= least - 1e-12
-                at = np.nonzero(keep)
-                best_q.append(own[at[0]])
-                best_m.append(chosen[at])
-                best_c.append(exact[at])
+                best_q.append(nq[a : a + 100_000][keep])
+                best_m.append(nm[a : a + 100_000][keep])
+                best_c.append(exact[keep])
         if best_q:
             bq, bm, bc = np.concatenate(best_q), np.concatenate(best_m), np.concatenate(best_c)
             differs = ids[bm] != query_ids[bq]
@@ -169,7 +183,7 @@ def neighbours(rows: DataFrame, queries: DataFrame | None = None, k: int = K, le
 
     ``rows`` and ``queries`` have ``id, v`` (see ``usable``); without ``queries`` every row is one. Ties are broken by
     the lesser id. Every row is indexed; of rows with one vector, the k + 1 least ids are, as no other can be among
-    the k nearest. Only the trained index is shipped: at most 4,096 centroids and 16 x 64 codewords. A cell that
+    the k nearest. Only the trained index is shipped: at most 4,096 centroids and 32 x 16 codewords. A cell that
     the sample shows to be crowded is split into blocks of rows and of queries.
     """
     total = rows.count()
