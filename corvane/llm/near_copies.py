@@ -20,8 +20,11 @@ from corvane.plans.lineage import cut
 
 GRAM, SYMBOLS, SEGMENTS, WIDTH = 5, 64, 8, 6
 MIN_CHARS, SIMILARITY = 200, 0.7
-#: Of 64 one-bit symbols, a pair at the threshold differs in 9.6 on average; this is 3.9 deviations above it.
-MOST_BITS = 21
+#: Of 64 two-bit symbols, a pair at the threshold differs in 14.4 on average; this is 3.8 deviations above it.
+MOST_SYMBOLS = 27
+#: With four bits of each symbol 18 differ on average; this is again 3.9 deviations above it.
+MOST_COMPLETE = 32
+PLANES = ("plane_0", "plane_1", "plane_2", "plane_3")
 GRAMS_AT_ONCE = 1_500_000
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
@@ -83,17 +86,14 @@ def fingerprints(texts: list[str]) -> np.ndarray:
 
 def similarities(pairs: list[tuple[str, str]]) -> np.ndarray:
     """Multiset Jaccard similarity of the substrings of two normalised texts."""
-    coded = []
+    coded, n = [], []
     for side in (0, 1):
         keys = gram_keys([p[side] for p in pairs])
-        coded.append((keys, occurrence(keys)))
-    n = [np.bincount((k >> np.uint64(44)).astype(np.int64), minlength=len(pairs)) for k, _ in coded]
-    keys = np.concatenate([k for k, _ in coded])
-    times = np.concatenate([t for _, t in coded])
-    order = np.lexsort((times, keys))
-    keys, times = keys[order], times[order]
-    both = (keys[1:] == keys[:-1]) & (times[1:] == times[:-1])
-    shared = np.bincount((keys[1:][both] >> np.uint64(44)).astype(np.int64), minlength=len(pairs))
+        owner = keys >> np.uint64(44)
+        n.append(np.bincount(owner.astype(np.int64), minlength=len(pairs)))
+        coded.append((owner << np.uint64(44)) | (mixed(keys + occurrence(keys).astype(np.uint64) * MIX[0]) >> np.uint64(20)))
+    keys = np.sort(np.concatenate(coded))  # a substring and its number is once in a text, so equal keys are shared
+    shared = np.bincount((keys[1:][keys[1:] == keys[:-1]] >> np.uint64(44)).astype(np.int64), minlength=len(pairs))
     union = n[0] + n[1] - shared
     same = np.array([a == b for a, b in pairs], bool)
     return np.where(union > 0, shared / np.maximum(union, 1), same * 1.0)
@@ -112,7 +112,8 @@ def groups_of_grams(texts: list[str], sizes: list[int]):
 
 
 def sketches(rows: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
-    """``id, copy (md5 of the normalised text), n (substrings), bits, symbols`` of the rows that are long enough."""
+    """``id, copy (md5 of the normalised text), n (substrings), plane_0 to plane_3 (four bits of each symbol),
+    symbols`` of the rows that are long enough."""
 
     def run(batches):
         for batch in batches:
@@ -122,15 +123,15 @@ def sketches(rows: DataFrame, id_col: str, text_col: str, min_chars: int) -> Dat
             for a, b in groups_of_grams(texts, sizes):
                 rows.append(fingerprints(texts[a:b]))
             symbols = np.concatenate(rows) if rows else np.zeros((0, SYMBOLS), np.uint16)
-            bits = np.packbits((symbols & 1).astype(np.uint8), axis=1).view(">i8").astype(np.int64).ravel()
+            planes = [pa.array(np.packbits(((symbols >> i) & 1).astype(np.uint8), axis=1).view(">i8").astype(np.int64).ravel()) for i in range(4)]
             packed = symbols[:, : SEGMENTS * WIDTH].astype(">u2")
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([hashlib.md5(t.encode()).digest() for t in texts], pa.binary()), pa.array(sizes, pa.int32()), pa.array(bits), pa.array([r.tobytes() for r in packed], pa.binary())],
-                names=["id", "copy", "n", "bits", "symbols"],
+                [batch.column(0), pa.array([hashlib.md5(t.encode()).digest() for t in texts], pa.binary()), pa.array(sizes, pa.int32()), *planes, pa.array([r.tobytes() for r in packed], pa.binary())],
+                names=["id", "copy", "n", *PLANES, "symbols"],
             )
 
     long_enough = rows.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text")).where(F.col("id").isNotNull() & (F.length("text") >= min_chars))
-    return long_enough.mapInArrow(run, "id string, copy binary, n int, bits bigint, symbols binary")
+    return long_enough.mapInArrow(run, "id string, copy binary, n int, " + ", ".join(f"{p} bigint" for p in PLANES) + ", symbols binary")
 
 
 def ball_keys() -> F.Column:
@@ -147,19 +148,25 @@ def ball_keys() -> F.Column:
 def class_links(sketched: DataFrame, texts: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     """Classes of exact copies (``copy, class_id, members``) and the links between their representatives
     (``class_a < class_b, similarity``). ``texts``: ``id, text``."""
-    classes = sketched.groupBy("copy").agg(F.min("id").alias("class_id"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("symbols").alias("symbols"))
-    table = classes.select(ball_keys().alias("key"), F.conv(F.hex(F.substring("copy", 1, 8)), 16, -10).cast("bigint").alias("k"), "n", "bits")
+    k = F.conv(F.hex(F.substring("copy", 1, 8)), 16, -10).cast("bigint").alias("k")
+    classes = cut(sketched.groupBy("copy").agg(F.min("id").alias("class_id"), F.first(F.struct("n", *PLANES, "symbols")).alias("s")).select("copy", k, "class_id", "s.*"))
+    table = classes.select(ball_keys().alias("key"), "k", *PLANES[:2])
     a, b = table.alias("a"), table.alias("b")
-    met = (
-        a.join(b, F.col("a.key") == F.col("b.key"))
-        .where("a.k < b.k")
-        .where(F.bit_count(F.col("a.bits").bitwiseXOR(F.col("b.bits"))) <= MOST_BITS)
-        .where((F.least("a.n", "b.n") >= threshold * F.greatest("a.n", "b.n")))
-        .select(F.col("a.k").alias("ka"), F.col("b.k").alias("kb"))
-        .distinct()
-    )
-    named = classes.select(F.conv(F.hex(F.substring("copy", 1, 8)), 16, -10).cast("bigint").alias("k"), "class_id")
-    pairs = met.join(named.select(F.col("k").alias("ka"), F.col("class_id").alias("ida")), "ka").join(named.select(F.col("k").alias("kb"), F.col("class_id").alias("idb")), "kb").select(F.least("ida", "idb").alias("class_a"), F.greatest("ida", "idb").alias("class_b"))
+
+    def differing(x: str, y: str, planes: tuple[str, ...]):
+        out = F.lit(0).cast("bigint")
+        for p in planes:
+            out = out.bitwiseOR(F.col(f"{x}{p}").bitwiseXOR(F.col(f"{y}{p}")))
+        return F.bit_count(out)
+
+    met = a.join(b, F.col("a.key") == F.col("b.key")).where("a.k < b.k").where(differing("a.", "b.", PLANES[:2]) <= MOST_SYMBOLS).select(F.col("a.k").alias("ka"), F.col("b.k").alias("kb")).distinct()
+    side = lambda s: classes.select(*[F.col(c).alias(c + s) for c in ("k", "class_id", "n", *PLANES)])
+    complete = differing("xx_", "yy_", PLANES)
+    xs, ys = side("a"), side("b")
+    for c in PLANES:
+        xs, ys = xs.withColumnRenamed(c + "a", "xx_" + c), ys.withColumnRenamed(c + "b", "yy_" + c)
+    near = met.join(xs, "ka").join(ys, "kb").where(complete <= MOST_COMPLETE).where(F.least("na", "nb") >= threshold * F.greatest("na", "nb"))
+    pairs = near.select(F.least("class_ida", "class_idb").alias("class_a"), F.greatest("class_ida", "class_idb").alias("class_b"))
     pairs = cut(pairs)
     involved = pairs.select(F.col("class_a").alias("id")).union(pairs.select(F.col("class_b").alias("id"))).distinct()
     read = texts.join(involved, "id", "left_semi").groupBy("id").agg(F.max("text").alias("text"))
