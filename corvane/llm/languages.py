@@ -46,7 +46,7 @@ LABELS = {word: code for code, words in NAMES.items() for word in words.split()}
 
 ITEM = re.compile(r"\s*(?:#|[-*+•·▪◦●‣–—]\s|\d{1,3}[.)]\s|\(?[a-zA-Z0-9]{1,3}\)\s|[①-⑳]|\||</?\w|!\[|```|\\(?:begin|end|\[))")
 CELLS = re.compile(r"\t|\|.*\||</t[dr]>|\S {3,}\S.* {3,}\S|;\S[^;]*;\S")
-SENTENCE = re.compile(r"[^.!?…。！？]*(?:[.!?…](?![\s\"'”’)\]»]|$)[^.!?…。！？]*)*[.!?…。！？]+[\"'”’)\]»」』）]*")
+SENTENCE_END = re.compile(r"[.!?…]+[\"'”’)\]»]*(?=\s|$)|[。！？]+[」』）”’]*")
 ASIDE = re.compile(r"\([^()]*\)|（[^（）]*）|\[[^\]]*\]|\"[^\"]*\"|“[^”]*”|„[^“”]*[“”]|«[^»]*»|「[^」]*」|『[^』]*』|‘[^’]*’|<[^<>]*>|\$[^$]*\$|\\\[.*?\\\]|https?://\S+")
 BROKEN = re.compile(r"[-‐‑¬­]\n\s*")
 NOT_LETTERS = re.compile(r"[\W\d_]+")
@@ -192,12 +192,12 @@ def sentences(text: str) -> list[tuple[int, int, bool]]:
     def close(end: int):
         if block is None:
             return
-        body, last = text[block:end], 0
-        for m in SENTENCE.finditer(body):
-            out.append((block + m.start(), block + m.end(), True))
+        last = block
+        for m in SENTENCE_END.finditer(text, block, end):
+            out.append((last, m.end(), True))
             last = m.end()
-        if body[last:].strip():
-            out.append((block + last, end, False))
+        if text[last:end].strip():
+            out.append((last, end, False))
 
     for line in text.split("\n"):
         end = at + len(line)
@@ -244,8 +244,11 @@ def segments(items: DataFrame, profiles: Profiles, id_col: str, text_col: str) -
             yield from assemble(batch, rows, profiles.distances(texts))
 
     def assemble(batch, rows, distance):
+        if not profiles.languages:
+            rows = []
         order = np.argsort(distance, axis=1, kind="stable")
         line = np.arange(len(rows))
+        line = line[: len(rows)]
         first = distance[line, order[:, 0]] if len(rows) else np.zeros(0)
         second = distance[line, order[:, 1]] if len(rows) and distance.shape[1] > 1 else np.ones(len(rows))
         lead = np.where(first < 1, (second - first) / np.maximum(second, 1e-9), 0.0)

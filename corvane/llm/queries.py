@@ -56,9 +56,12 @@ def p3_items(spark, d):
 def p3_found(spark, d):
     pages, of_pages, of_chunks = language_items(spark, d)
     told = languages.documents_of(of_pages).join(pages.select(F.col("page_id").cast("string").alias("id"), languages.label_codes(F.col("label")).alias("code")), "id")
-    labels = told.where("lang is not null and (code is null or code <> lang)").select(F.col("id").alias("item_id"), "lang", F.when(F.col("code").isNull(), "missing").otherwise("wrong").alias("kind"))
-    mixed = lambda items: items.select(F.col("id").alias("item_id"), F.explode(F.array_remove("languages", F.col("lang"))).alias("lang"), F.lit("mixed").alias("kind"))
-    return labels.union(mixed(told)).union(mixed(languages.documents_of(of_chunks)))
+    case = lambda lang, kind: F.struct(lang.alias("lang"), kind.alias("kind"))
+    further = F.transform(F.array_remove("languages", F.col("lang")), lambda x: case(x, F.lit("mixed")))
+    label = F.when(F.col("code").isNull(), F.lit("missing")).when(F.col("code") != F.col("lang"), F.lit("wrong"))
+    labels = F.when(label.isNotNull() & F.col("lang").isNotNull(), F.array(case(F.col("lang"), label))).otherwise(F.array().cast("array<struct<lang:string,kind:string>>"))
+    of = lambda items, cases: items.select(F.col("id").alias("item_id"), F.explode(cases).alias("c")).select("item_id", "c.*")
+    return of(told, F.concat(labels, further)).union(of(languages.documents_of(of_chunks), further))
 
 
 def p4_rows(spark, d):
@@ -138,9 +141,9 @@ def oracle_sql() -> dict[str, str]:
         "p4_found": """
             WITH latest AS (
                 SELECT id, max_by(embedding, created_at) AS v FROM vectors
-                WHERE embedding IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0 AND list_min(embedding) <> list_max(embedding)
+                WHERE embedding IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_min(embedding) <> list_max(embedding)
                 GROUP BY id),
-            wide AS (SELECT id, list_transform(v, x -> x::DOUBLE) AS v FROM latest),
+            wide AS (SELECT id, list_transform(v, lambda x: x::DOUBLE) AS v FROM latest),
             near AS (
                 SELECT a.id, b.id AS other, list_cosine_similarity(a.v, b.v) AS c,
                        row_number() OVER (PARTITION BY a.id ORDER BY round(list_cosine_similarity(a.v, b.v), 12) DESC, b.id) AS r
