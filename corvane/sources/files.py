@@ -89,7 +89,7 @@ def sections_of(texts: DataFrame) -> DataFrame:
 
 
 def scan_markdown(spark: SparkSession, root: str) -> DataFrame:
-    rows = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(root)
+    rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(root, wholetext=True)
     return sections_of(rows.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")))
 
 
@@ -142,7 +142,7 @@ def image_metadata(raw: DataFrame, json_col: str = "value") -> DataFrame:
 
 
 def scan_image_metadata_json(spark: SparkSession, root: str) -> DataFrame:
-    return image_metadata(spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*_metadata.json").text(root))
+    return image_metadata(spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*_metadata.json").text(root, wholetext=True))
 
 
 def hwpx_blocks(content: bytes) -> list[tuple[str, str]]:
