@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corvane.llm import bpe_automaton, entity_matching, languages, near_copies, pack_containers, scan_repair, speaker_turns, split_items, text_quality, vector_neighbours
+from corvane.plans.shipping import ship
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -129,7 +130,14 @@ NAMES = "p1_found p1_pieces p2_found p2_classes p3_found p3_segments p3_items p4
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: globals()[name] for name in NAMES}
+    def shipped(build):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return build(spark, sf_dir)
+
+        return run
+
+    return {name: shipped(globals()[name]) for name in NAMES}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -17,7 +17,7 @@ from corvane.plans.lineage import cut
 DIM, K = 64, 10
 LIST_SIZE, MAX_LISTS, LISTS_IN_CELL = 200, 4096, 24
 #: Lists searched for a query, and members of one list and of one cell that are ranked exactly.
-PROBES, FROM_LIST, RERANKED = 8, 32, 96
+PROBES, FROM_LIST, RERANKED = 8, 64, 200
 SUBSPACES, CODES = 32, 16
 #: The quantisers are fitted on at most so many vectors.
 TRAINING = 40_000
