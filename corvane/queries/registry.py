@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from corvane.plans.shipping import ship
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -29,7 +31,11 @@ def query(name: str, sql: str | None = None):
     """Registers a function of ``Tables`` under ``name``; without SQL for what SQL cannot express."""
 
     def register(build: Callable[[Tables], DataFrame]):
-        QUERIES[name] = lambda spark, folder: build(Tables(spark, folder))
+        def run(spark: SparkSession, folder: str) -> DataFrame:
+            ship(spark)
+            return build(Tables(spark, folder))
+
+        QUERIES[name] = run
         if sql:
             SQL[name] = sql
         return build
