@@ -45,7 +45,7 @@ CODES = set(NAMES) | set("cs da el fa fi he hi hu id no ro th uk bg hr sk sl sr
 LABELS = {word: code for code, words in NAMES.items() for word in words.split()}
 
 ITEM = re.compile(r"\s*(?:#|[-*+•·▪◦●‣–—]\s|\d{1,3}[.)]\s|\(?[a-zA-Z0-9]{1,3}\)\s|[①-⑳]|\||</?\w|!\[|```|\\(?:begin|end|\[))")
-CELLS = re.compile(r"\t|\|.*\||</t[dr]>|\S {3,}\S.* {3,}\S|;\S[^;]*;\S")
+CELLS = re.compile(r"\.{4,}\s*\d|\t|\|.*\||</t[dr]>|\S {3,}\S.* {3,}\S|;\S[^;]*;\S")
 SENTENCE_END = re.compile(r"[.!?…]+[\"'”’)\]»]*(?=\s|$)|[。！？]+[」』）”’]*")
 ASIDE = re.compile(r"\([^()]*\)|（[^（）]*）|\[[^\]]*\]|\"[^\"]*\"|“[^”]*”|„[^“”]*[“”]|«[^»]*»|「[^」]*」|『[^』]*』|‘[^’]*’|<[^<>]*>|\$[^$]*\$|\\\[.*?\\\]|https?://\S+")
 BROKEN = re.compile(r"[-‐‑¬­]\n\s*")
