@@ -2,18 +2,28 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from corvane.functions import vectors
-
 K1, B = 1.2, 0.75
 
 
-def postings(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id, term, tf, dl`` of every document. Terms are lower-case runs of Latin letters and digits or of Hangul."""
-    terms = F.regexp_extract_all(F.lower(text_col), F.lit("[a-z0-9]+|[가-힣]+"), F.lit(0))
-    rows = documents.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), terms.alias("terms"))
-    return rows.select("id", F.size("terms").alias("dl"), F.explode("terms").alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
+TERMS = "[a-z0-9]+|[가-힣]+"
+
+
+def terms_of(text: Column | str) -> Column:
+    """Lower-case runs of Latin letters and digits or of Hangul."""
+    return F.regexp_extract_all(F.lower(text), F.lit(TERMS), F.lit(0))
+
+
+def postings(documents: DataFrame, id_col: str, text_col: str, wanted: DataFrame | None = None) -> DataFrame:
+    """``id, term, tf, dl`` of every document, or of the ``wanted (term)`` only, which are kept before counting."""
+    rows = documents.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), terms_of(text_col).alias("terms"))
+    exploded = rows.select("id", F.size("terms").alias("dl"), F.explode("terms").alias("term"))
+    if wanted is not None:
+        exploded = exploded.join(wanted.select("term").distinct(), "term", "left_semi")
+    return exploded.groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
 
 
 def bm25(documents: DataFrame, queries: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
@@ -22,12 +32,11 @@ def bm25(documents: DataFrame, queries: DataFrame, id_col: str, text_col: str, k
     Only the postings of query terms are joined; the corpus contributes two numbers, its size and mean length. Ties
     are broken by id.
     """
-    terms = F.regexp_extract_all(F.lower("query"), F.lit("[a-z0-9]+|[가-힣]+"), F.lit(0))
-    asked = queries.select("query_id", F.explode(F.array_distinct(terms)).alias("term"))
-    lengths = documents.where(F.col(text_col).isNotNull()).select(F.size(F.regexp_extract_all(F.lower(text_col), F.lit("[a-z0-9]+|[가-힣]+"), F.lit(0))).alias("dl"))
+    asked = queries.select("query_id", F.explode(F.array_distinct(terms_of("query"))).alias("term"))
+    lengths = documents.where(F.col(text_col).isNotNull()).select(F.size(terms_of(text_col)).alias("dl"))
     corpus = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("mean")).first()
     n, mean = corpus["n"], corpus["mean"] or 1.0
-    wanted = postings(documents, id_col, text_col).join(asked.select("term").distinct(), "term", "left_semi")
+    wanted = postings(documents, id_col, text_col, asked)
     df = wanted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(float(mean))))
@@ -40,11 +49,31 @@ def top_per(rows: DataFrame, keys: list[str], order: list[Column], k: int, rank:
     return rows.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(rank) <= k)
 
 
+BLOCK_ROWS, BLOCK_QUERIES = 20_000, 2_000
+
+
 def near_vectors(rows: DataFrame, queries: DataFrame, id_col: str, vector_col: str, k: int) -> DataFrame:
     """``query_id, id, distance, rank``: exact k nearest by cosine distance for a stated set of queries
-    (``query_id, v``). For every vector against all, see an index instead."""
-    pairs = rows.select(F.col(id_col).alias("id"), F.col(vector_col).alias("x"), F.lit(1).alias("all")).join(queries.select("query_id", "v", F.lit(1).alias("all")), "all")
-    scored = pairs.select("query_id", "id", F.round(1 - vectors.cosine("x", "v"), 6).alias("distance"))
+    (``query_id, v``) against all rows.
+
+    Blocks of rows meet blocks of queries, each pair of blocks in one task of bounded size that multiplies two
+    matrices and gives its k best; a query's bests are merged after."""
+    parts, query_parts = max(1, -(-rows.count() // BLOCK_ROWS)), max(1, -(-queries.count() // BLOCK_QUERIES))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = rows.where(F.col(vector_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector_col).alias("x"), F.pmod(F.xxhash64(id_col), F.lit(parts)).cast("int").alias("i"), every(query_parts).alias("j"))
+    right = queries.where(F.col("v").isNotNull()).select("query_id", "v", F.pmod(F.xxhash64("query_id"), F.lit(query_parts)).cast("int").alias("j"), every(parts).alias("i"))
+    kinds = left.schema["id"].dataType.simpleString(), right.schema["query_id"].dataType.simpleString()
+
+    def search(found: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        if found.empty or asked.empty:
+            return pd.DataFrame({"query_id": [], "id": [], "distance": []})
+        found = found.sort_values("id", kind="stable")
+        unit = lambda column: (lambda m: m / np.maximum(np.sqrt((m * m).sum(1, keepdims=True)), 1e-300))(np.stack(column.to_list()).astype(np.float64))
+        distance = np.round(1 - unit(asked["v"]) @ unit(found["x"]).T, 6)
+        near = np.argsort(distance, axis=1, kind="stable")[:, :k]
+        return pd.DataFrame({"query_id": np.repeat(asked["query_id"].to_numpy(), near.shape[1]), "id": found["id"].to_numpy()[near.ravel()], "distance": np.take_along_axis(distance, near, 1).ravel()})
+
+    scored = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(search, f"query_id {kinds[1]}, id {kinds[0]}, distance double")
     return top_per(scored, ["query_id"], [F.asc("distance"), F.col("id")], k)
 
 

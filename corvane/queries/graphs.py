@@ -274,9 +274,9 @@ def counts(t):
     return a.join(b, "document_id", "full").select("document_id", F.coalesce("ne", F.lit(0)).alias("entities"), F.coalesce("nr", F.lit(0)).alias("relations"))
 
 
-@query("A05_doc_source_set", f"WITH {NODES}, {EDGES}, {SEEDS} SELECT type, coalesce(string_agg(DISTINCT doc_id, ', ' ORDER BY doc_id), 'GraphRAG/cross_ref') AS sources FROM n GROUP BY type")
+@query("A05_doc_source_set", f"WITH {NODES}, {EDGES}, {SEEDS} SELECT name, coalesce(string_agg(DISTINCT doc_id, ', ' ORDER BY doc_id), 'GraphRAG/cross_ref') AS sources FROM n GROUP BY name")
 def source_set(t):
-    return nodes(t).groupBy("type").agg(F.coalesce(F.nullif(F.array_join(F.sort_array(F.collect_set("doc_id")), ", "), F.lit("")), F.lit("GraphRAG/cross_ref")).alias("sources"))
+    return nodes(t).groupBy("name").agg(F.coalesce(F.nullif(F.array_join(F.sort_array(F.collect_set("doc_id")), ", "), F.lit("")), F.lit("GraphRAG/cross_ref")).alias("sources"))
 
 
 OVERLAP = "len(list_intersect(qt, list_distinct(regexp_extract_all(lower(coalesce({}, '')), '[a-zA-Z가-힣]+'))))"

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from corvane.functions import text as T
 from corvane.operators import chunking, layout, tables, transcript
+from corvane.plans.numbering import numbered
 from corvane.queries.registry import Tables, query
 from corvane.sources import files, scorers
 
@@ -138,11 +139,7 @@ def numbers(t):
 
 @query("W06_global_numbering", f"WITH {BOXES} SELECT page, pos, row_number() OVER (ORDER BY page, pos) AS number FROM b WHERE label = 'image'")
 def global_numbers(t):
-    """Numbers within each page plus the counts of the pages before: only the counts are ordered in one task."""
-    rows = boxes(t).where("label = 'image'").select("page", "pos")
-    local = rows.withColumn("n", F.row_number().over(Window.partitionBy("page").orderBy("pos")))
-    before = rows.groupBy("page").agg(F.count(F.lit(1)).alias("c")).withColumn("before", F.coalesce(F.sum("c").over(Window.orderBy("page").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return local.join(before, "page").select("page", "pos", (F.col("n") + F.col("before")).alias("number"))
+    return numbered(boxes(t).where("label = 'image'").select("page", "pos"), F.col("page"), F.col("pos")).select("page", "pos", "number")
 
 
 @query("W07_page_number_in_batch", "SELECT doc_id, page_num, ((row_number() OVER (PARTITION BY document_id ORDER BY page_num, doc_id) - 1) % 4 + 1)::INT AS place FROM documents")
@@ -340,3 +337,61 @@ def image_items(t):
 def find_image(t):
     known = t.chunks.where(F.col("metadata")["file_path"].isNotNull()).select(F.col("metadata")["file_path"].alias("path")).distinct()
     return files.resolve_images(known.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name")).distinct(), known)
+
+
+@query("S08_scan_hwpx_xml", "SELECT p_partkey || '.hwpx' AS path, 0 AS block, 'paragraph' AS kind, p_name AS text FROM part UNION ALL SELECT p_partkey || '.hwpx', 1, 'table', p_brand || chr(9) || p_type FROM part")
+def hwpx(t):
+    """Zipped documents made from parts, then parsed."""
+
+    def pack(frames):
+        import io
+        import zipfile
+
+        for frame in frames:
+            contents = []
+            for name, brand, kind in zip(frame["p_name"], frame["p_brand"], frame["p_type"]):
+                cell = lambda x: f"<hp:tc><hp:p><hp:t>{x}</hp:t></hp:p></hp:tc>"
+                buffer = io.BytesIO()
+                with zipfile.ZipFile(buffer, "w") as z:
+                    z.writestr("Contents/section0.xml", f'<s xmlns:hp="{files.PARAGRAPH[1:-1]}"><hp:p><hp:t>{name}</hp:t></hp:p><hp:tbl><hp:tr>{cell(brand)}{cell(kind)}</hp:tr></hp:tbl></s>')
+                contents.append(buffer.getvalue())
+            yield pd.DataFrame({"path": frame["p_partkey"].astype(str) + ".hwpx", "content": contents})
+
+    return files.parse_hwpx(t.part.mapInPandas(pack, "path string, content binary")).select("path", "block", "kind", "text")
+
+
+@query("S09_scan_images", "SELECT p_partkey || '.png' AS path, 12 AS length FROM part WHERE p_partkey % 3 = 0")
+def images(t):
+    content = F.when(F.col("p_partkey") % 3 == 0, F.unhex(F.lit("89504E470D0A1A0A00000000"))).otherwise(F.encode(F.lit("no image"), "UTF-8"))
+    rows = t.part.select(F.concat(F.col("p_partkey").cast("string"), F.lit(".png")).alias("path"), content.alias("content"))
+    return files.image_files(rows.withColumn("length", F.octet_length("content")))
+
+
+@query("P24_region_ocr", f"WITH {BOXES} SELECT page, pos::INT AS pos, 'box ' || pos AS text FROM b WHERE label NOT IN ('image', 'chart', 'seal', 'formula', 'table')")
+def regions(t):
+    def reader(frame: pd.DataFrame) -> pd.DataFrame:
+        return frame[["page", "pos"]].assign(text="box " + frame["pos"].astype(str))
+
+    return scorers.region_texts(boxes(t).withColumn("pos", F.col("pos").cast("int")), reader).select("page", "pos", "text")
+
+
+@query("P20_pdf_to_png", "SELECT DISTINCT document_id AS doc, page_num AS page, document_id || '/' || page_num || '.png' AS path FROM documents WHERE page_num IS NOT NULL")
+def rendered(t):
+    def renderer(frame: pd.DataFrame) -> pd.DataFrame:
+        return frame.assign(path=frame["doc"] + "/" + frame["page"].astype(str) + ".png")
+
+    return scorers.rendered_pages(toc(t)[1], renderer).select("doc", "page", "path")
+
+
+@query("ST2_incremental_ingest", "SELECT doc_id, source FROM documents")
+def incremental(t):
+    """The documents folder as a stream of files, upserted by one run over what is available."""
+    import uuid
+
+    from corvane.plans.lineage import ensure_checkpoint_dir
+    from corvane.streaming.ingest import incremental as ingest
+
+    place = f"{ensure_checkpoint_dir(t.spark)}/ingest-{uuid.uuid4().hex}"
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in t.documents.schema)
+    ingest(t.spark, t.folder(), schema, place + "/checkpoint", lambda b: b.select("doc_id", "source"), place + "/table", ["doc_id"], "documents.parquet").awaitTermination()
+    return t.spark.read.parquet(place + "/table")

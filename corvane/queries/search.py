@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from corvane.functions import vectors
 from corvane.functions.text import PARTICLES, bm25_query
 from corvane.operators import context, retrieval
+from corvane.plans.numbering import numbered
 from corvane.queries.registry import Tables, query
 
 #: Questions are the distinct level-one headings of the first pages of files.
@@ -176,7 +177,8 @@ def similarity(t):
 
 @query("W08_order_by_score_desc", BM25 + " SELECT query_id, id, row_number() OVER (ORDER BY score DESC, query_id, id) AS pos FROM hits WHERE rank = 1")
 def ordered(t):
-    return hits(t, 1).select("query_id", "id", F.row_number().over(Window.orderBy(F.desc("score"), "query_id", "id")).alias("pos"))
+    rows = hits(t, 1).select("query_id", "id", "score")
+    return numbered(rows, F.desc("score"), F.col("query_id"), F.col("id"), name="pos").select("query_id", "id", "pos")
 
 
 @query("W09_top_k_limit", "SELECT doc_id, n_chars FROM documents ORDER BY n_chars DESC, doc_id LIMIT 50")
@@ -200,7 +202,7 @@ def format_context(t):
 @query("U02_default_image_union", """WITH h AS (SELECT vec_id AS id, label, row_number() OVER (ORDER BY (vec_id * 37 % 1009), vec_id) AS pos FROM embeddings)
     SELECT id, pos, 0 AS part FROM h WHERE label % 3 = 1 UNION ALL SELECT id, pos, 1 FROM (SELECT * FROM h WHERE pos <= 20 AND label % 3 = 0 ORDER BY pos LIMIT 5)""")
 def default_images(t):
-    rows = t.embeddings.select(F.col("vec_id").alias("id"), "label", F.row_number().over(Window.orderBy(F.col("vec_id") * 37 % 1009, "vec_id")).alias("pos"))
+    rows = numbered(t.embeddings.select(F.col("vec_id").alias("id"), "label", (F.col("vec_id") * 37 % 1009).alias("o")), F.col("o"), F.col("id"), name="pos")
     return rows.where("label % 3 = 1").select("id", "pos", F.lit(0).alias("part")).union(rows.where("pos <= 20 and label % 3 = 0").orderBy("pos").limit(5).select("id", "pos", F.lit(1)))
 
 

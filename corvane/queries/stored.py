@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window, functions as F
+from pyspark.sql import functions as F
 
 from corvane.functions.ids import chunk_key, document_id, uuid5
 from corvane.functions.text import extension, stem
 from corvane.functions import vectors
 from corvane.operators import lifecycle
+from corvane.plans.numbering import numbered
 from corvane.queries.graphs import UUID
 from corvane.queries.registry import query
 
@@ -184,10 +185,10 @@ def uuid_join(t):
 
 @query("J10_mixed_zip_cyclic", "WITH a AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS i FROM customer), b AS (SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey) - 1 AS j, count(*) OVER () AS n FROM supplier) SELECT c_custkey, s_suppkey FROM a JOIN b ON i % n = j")
 def cyclic(t):
-    a = t.customer.select("c_custkey", (F.row_number().over(Window.orderBy("c_custkey")) - 1).alias("i"))
-    b = t.supplier.select("s_suppkey", (F.row_number().over(Window.orderBy("s_suppkey")) - 1).alias("j"))
     n = t.supplier.count()
-    return a.withColumn("j", F.col("i") % max(n, 1)).join(b, "j").select("c_custkey", "s_suppkey")
+    a = numbered(t.customer.select("c_custkey"), F.col("c_custkey")).select("c_custkey", ((F.col("number") - 1) % max(n, 1)).alias("j"))
+    b = numbered(t.supplier.select("s_suppkey"), F.col("s_suppkey")).select("s_suppkey", (F.col("number") - 1).alias("j"))
+    return a.join(b, "j").select("c_custkey", "s_suppkey")
 
 
 @query("U07_line_dedupe")

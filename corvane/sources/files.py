@@ -168,27 +168,40 @@ def hwpx_blocks(content: bytes) -> list[tuple[str, str]]:
     return out
 
 
-def scan_hwpx(spark: SparkSession, root: str) -> DataFrame:
-    """``path, block, kind, text, error``; an unreadable file gives one row with its error."""
+def parse_hwpx(zipped: DataFrame) -> DataFrame:
+    """``path, block, kind, text, error`` of ``path, content`` rows; an unreadable file gives one row with its error."""
 
     def run(frames):
         for frame in frames:
             rows = []
             for path, content in zip(frame["path"], frame["content"]):
                 try:
-                    rows += [(path, i, kind, text, None) for i, (kind, text) in enumerate(hwpx_blocks(content))]
+                    rows += [(path, i, kind, text, None) for i, (kind, text) in enumerate(hwpx_blocks(bytes(content)))]
                 except (zipfile.BadZipFile, ElementTree.ParseError) as e:
                     rows.append((path, None, None, None, type(e).__name__))
-            yield pd.DataFrame(rows, columns=["path", "block", "kind", "text", "error"]).astype({"block": "Int32"})
+            out = pd.DataFrame(rows, columns=["path", "block", "kind", "text", "error"]).astype({"block": "Int32"})
+            yield out.assign(**{c: out[c].astype(object).where(out[c].notna(), None) for c in ("kind", "text", "error")})
+
+    return zipped.select("path", "content").mapInPandas(run, "path string, block int, kind string, text string, error string")
+
+
+def scan_hwpx(spark: SparkSession, root: str) -> DataFrame:
+    return parse_hwpx(scan_files(spark, root, "*.hwpx"))
+
+
+def decodable(content: Column | str) -> Column:
+    """The bytes begin like a PNG, JPEG, GIF, BMP, TIFF or WebP image."""
+    magic = F.hex(F.substring(content, 1, 12))
+    return magic.rlike("^(89504E47|FFD8FF|47494638|424D|49492A00|4D4D002A|52494646.{8}57454250)")
+
 
-    return scan_files(spark, root, "*.hwpx").select("path", "content").mapInPandas(run, "path string, block int, kind string, text string, error string")
+def image_files(found: DataFrame) -> DataFrame:
+    """Image files by extension and signature, each once in order of path."""
+    return found.where((kind_of("path") == "image") & decodable("content")).select("path", "length").distinct().orderBy("path")
 
 
 def scan_images(spark: SparkSession, root: str) -> DataFrame:
-    """Image files by signature and extension, each once in order of path."""
-    magic = F.hex(F.substring("content", 1, 12))
-    decodable = magic.startswith("89504E47") | magic.startswith("FFD8FF") | magic.startswith("47494638") | magic.startswith("424D") | magic.startswith("49492A00") | magic.startswith("4D4D002A") | magic.rlike("^52494646.{8}57454250")
-    return scan_files(spark, root).where((kind_of("path") == "image") & decodable).select("path", "length").distinct().orderBy("path")
+    return image_files(scan_files(spark, root))
 
 
 def data_url(path: Column | str, content: Column | str, most: int = 10 * 1024 * 1024) -> Column:

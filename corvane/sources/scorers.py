@@ -98,3 +98,18 @@ def extraction_lines(reply: str) -> list[str]:
     lines = [x.strip() for x in text.split("\n") if x.strip()]
     first = next((i for i, x in enumerate(lines) if re.match(r"ENT_\d+\s*(?:\||->)", x)), 0)
     return lines[first:]
+
+
+#: Labels whose boxes are not read.
+UNREAD = ["image", "chart", "seal", "formula", "table"]
+
+
+def region_texts(boxes: DataFrame, reader: Scorer, retries: int = 3) -> DataFrame:
+    """Texts of the boxes that are to be read (``page, pos, label, x1, y1, x2, y2``) by a pluggable reader of batches."""
+    rows = boxes.where(~boxes["label"].isin(*UNREAD))
+    return score(rows, reader, "page bigint, pos int, text string, error string", retries)
+
+
+def rendered_pages(pages: DataFrame, renderer: Scorer) -> DataFrame:
+    """Images of pages (``doc, page``) by a pluggable renderer; office files and unwarping are renderers, too."""
+    return score(pages, renderer, "doc string, page int, path string, error string")
