@@ -69,7 +69,7 @@ def near_vectors(rows: DataFrame, queries: DataFrame, id_col: str, vector_col: s
             return pd.DataFrame({"query_id": [], "id": [], "distance": []})
         found = found.sort_values("id", kind="stable")
         unit = lambda column: (lambda m: m / np.maximum(np.sqrt((m * m).sum(1, keepdims=True)), 1e-300))(np.stack(column.to_list()).astype(np.float64))
-        distance = np.round(1 - unit(asked["v"]) @ unit(found["x"]).T, 6)
+        distance = np.round(1 - unit(asked["v"]) @ unit(found["x"]).T, 6) + 0.0
         near = np.argsort(distance, axis=1, kind="stable")[:, :k]
         return pd.DataFrame({"query_id": np.repeat(asked["query_id"].to_numpy(), near.shape[1]), "id": found["id"].to_numpy()[near.ravel()], "distance": np.take_along_axis(distance, near, 1).ravel()})
 

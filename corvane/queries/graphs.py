@@ -319,7 +319,7 @@ def snippet_counts(t):
     return snippets(t).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("R27_graph_results_to_documents", SNIPPETS + " SELECT snippet AS text, CASE WHEN length(title) > 60 THEN substr(title, 1, 60) || '…' ELSE title END AS title, 1.0 AS score FROM (SELECT snippet, trim(regexp_replace(snippet, '^[^\\]]*\\]', '')) AS title FROM ds)")
+@query("R27_graph_results_to_documents", SNIPPETS + " SELECT snippet AS text, CASE WHEN length(title) > 60 THEN substr(title, 1, 60) || '…' ELSE title END AS title, 1.0::DOUBLE AS score FROM (SELECT snippet, trim(regexp_replace(snippet, '^[^\\]]*\\]', '')) AS title FROM ds)")
 def as_documents(t):
     return snippets(t).select(F.col("snippet").alias("text"), context.snippet_title("snippet").alias("title"), F.lit(1.0).alias("score"))
 

@@ -234,9 +234,9 @@ def chunk_embed(t):
     return embed(t.chunks.select("chunk_id", "text").distinct(), "chunk_id", "text").where("embedding is not null").select(F.col("id").alias("chunk_id"), F.size("embedding").alias("width"))
 
 
-@query("U08_image_doc_dedupe", "SELECT id, min(created_at) AS created_at FROM vectors GROUP BY id")
+@query("U08_image_doc_dedupe", "SELECT id, epoch_us(min(created_at)) AS created_us FROM vectors GROUP BY id")
 def image_dedupe(t):
-    return t.vectors.groupBy("id").agg(F.min("created_at").alias("created_at"))
+    return t.vectors.groupBy("id").agg(F.unix_micros(F.min("created_at")).alias("created_us"))
 
 
 @query("U06_token_intersect", f"WITH q AS ({QUESTIONS}) SELECT query_id, len(list_intersect(list_distinct(regexp_extract_all(lower(query), '[a-zA-Z가-힣]+')), ['report', 'graph', 'table', 'scanner', '결과'])) AS shared FROM q")

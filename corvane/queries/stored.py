@@ -107,7 +107,7 @@ def retention(t):
     return rows.where(F.col("ts") < F.lit(last) - F.expr("INTERVAL 10 DAYS")).select("event_id", "name")
 
 
-@query("K22_write_file_catalog", "SELECT count(DISTINCT metadata['file_path']) AS total_files, 1.0 AS version FROM chunks")
+@query("K22_write_file_catalog", "SELECT count(DISTINCT metadata['file_path']) AS total_files, 1.0::DOUBLE AS version FROM chunks")
 def write_catalog(t):
     return t.chunks.agg(F.countDistinct(F.col("metadata")["file_path"]).alias("total_files")).withColumn("version", F.lit(1.0))
 

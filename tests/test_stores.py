@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from corvane.operators import graph, lifecycle, reasoning
 from corvane.plans.lineage import cut, ensure_checkpoint_dir
+from corvane.plans.numbering import numbered
 from corvane.sources import files
 from corvane.streaming import ingest
 
@@ -39,6 +40,29 @@ def test_cut_keeps_rows(spark):
     assert cut(spark.range(5)).count() == 5
 
 
+def test_numbering(spark):
+    df = spark.range(0, 1000, 1, 7).select(F.xxhash64("id").alias("h"), "id")
+    got = numbered(df, F.desc("h"), F.col("id")).orderBy("number").collect()
+    assert [r["number"] for r in got] == list(range(1, 1001)) and [r["h"] for r in got] == sorted((r["h"] for r in got), reverse=True)
+    assert numbered(df.limit(0), F.col("id")).count() == 0
+
+
+def test_blocked_search_equals_one_block(spark, monkeypatch):
+    import numpy as np
+
+    from corvane.operators import retrieval
+
+    x = np.random.default_rng(1).normal(size=(300, 8))
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)] + [(999, None)], "id int, e array<double>")
+    asked = df.where("id % 7 = 0").select(F.col("id").alias("query_id"), F.col("e").alias("v"))
+    whole = rows(retrieval.near_vectors(df, asked, "id", "e", 4))
+    monkeypatch.setattr(retrieval, "BLOCK_ROWS", 40)
+    monkeypatch.setattr(retrieval, "BLOCK_QUERIES", 10)
+    assert rows(retrieval.near_vectors(df, asked, "id", "e", 4)) == whole and len(whole) == 4 * 43
+    c = np.round(1 - (x / np.linalg.norm(x, axis=1, keepdims=True)) @ (x[0] / np.linalg.norm(x[0])), 6)
+    assert [r[1] for r in sorted(whole, key=lambda r: r[3]) if r[0] == 0] == np.argsort(c, kind="stable")[:4].tolist()
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "metadata").mkdir()
     (tmp_path / "metadata" / "x.md").write_text("no")
