@@ -98,6 +98,12 @@ def pages(spark):
     return scan_repair.distinct_pages(spark.createDataFrame([(*r, 0, "clash") for r in rows], PAGES))
 
 
+@pytest.mark.parametrize("line,number", [("12", 12), ("- 7 -", 7), ("— 4l —", 41), ("Page 3 of 9", 3), ("[15]", 15), ("第 7 页", 7), ("xiv", 14), (" ix ", 9), ("3O", 30), ("II", 2), ("I", 1), ("word", None), ("1 2", None), ("mix", None), ("", None), ("civil", None)])
+def test_page_numbers(line, number):
+    found = scan_repair.page_number(line)
+    assert (found[0] if found else None) == number
+
+
 def test_faults(pages):
     got = {(r["page_id"], r["line_no"], r["kind"]) for r in scan_repair.faults(pages).collect()}
     assert {(i, 1, "running_head") for i in range(1, 9)} <= got and {(i, 6, "page_number") for i in range(1, 9)} <= got
