@@ -35,8 +35,7 @@ def p2_classes(spark, d):
 def language_items(spark, d):
     """Segments of pages (the latest row of each) and of chunks, with the labels of the pages."""
     profiles = languages.train(table(spark, d, "documents"))
-    pages = scan_repair.distinct_pages(table(spark, d, "page_responses").withColumnRenamed("primary_language", "label").withColumn("document_id", F.struct("document_id", "label")))
-    pages = pages.select("page_id", "natural_text", F.col("document_id.label").alias("label"))
+    pages = scan_repair.distinct_pages(table(spark, d, "page_responses"), "primary_language").select("page_id", "natural_text", F.col("primary_language").alias("label"))
     of_pages = languages.segments(pages, profiles, "page_id", "natural_text").withColumn("source", F.lit("page"))
     of_chunks = languages.segments(table(spark, d, "chunks").where("chunk_id is not null"), profiles, "chunk_id", "text").withColumn("source", F.lit("chunk"))
     return pages, of_pages, of_chunks
