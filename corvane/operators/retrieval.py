@@ -6,7 +6,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from corvane.plans.lineage import cut
+
 K1, B = 1.2, 0.75
+#: Tables of at most so many rows are broadcast, after counting.
+BROADCAST_ROWS = 100_000
 
 
 TERMS = "[a-z0-9]+|[가-힣]+"
@@ -29,18 +33,25 @@ def postings(documents: DataFrame, id_col: str, text_col: str, wanted: DataFrame
 def bm25(documents: DataFrame, queries: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
     """``query_id, id, score, rank``: the k best documents of each query (``query_id, query``) by BM25.
 
-    Only the postings of query terms are joined; the corpus contributes two numbers, its size and mean length. Ties
+    Only postings of query terms are kept, before anything is counted; the corpus contributes two numbers, its size
+    and mean length. Postings are shuffled once, by document. Where the queries' terms are few, by count, they are
+    broadcast to the postings, so that scores add up without a further shuffle; else both are joined by term. Ties
     are broken by id.
     """
-    asked = queries.select("query_id", F.explode(F.array_distinct(terms_of("query"))).alias("term"))
+    asked = cut(queries.select("query_id", F.explode(F.array_distinct(terms_of("query"))).alias("term")))
+    few = asked.count() <= BROADCAST_ROWS
+    small = F.broadcast if few else (lambda df: df)
     lengths = documents.where(F.col(text_col).isNotNull()).select(F.size(terms_of(text_col)).alias("dl"))
     corpus = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("mean")).first()
     n, mean = corpus["n"], corpus["mean"] or 1.0
-    wanted = postings(documents, id_col, text_col, asked)
+    rows = documents.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), terms_of(text_col).alias("terms"))
+    exploded = rows.select("id", F.size("terms").alias("dl"), F.explode("terms").alias("term")).join(small(asked.select("term").distinct()), "term", "left_semi")
+    wanted = cut(exploded.repartition("id").groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl")))
     df = wanted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(float(mean))))
-    scored = asked.join(wanted.join(df, "term").select("term", "id", weight.alias("w")), "term").groupBy("query_id", "id").agg(F.round(F.sum("w"), 6).alias("score"))
+    weights = asked.join(df, "term").select("query_id", "term", idf.alias("idf"))
+    weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(float(mean))))
+    scored = wanted.join(small(weights), "term").groupBy("query_id", "id").agg(F.round(F.sum(weight), 6).alias("score"))
     return top_per(scored, ["query_id"], [F.desc("score"), F.col("id")], k)
 
 
