@@ -22,8 +22,8 @@ GRAM, SYMBOLS, SEGMENTS, WIDTH = 5, 64, 8, 6
 MIN_CHARS, SIMILARITY = 200, 0.7
 #: Of 64 two-bit symbols, a pair at the threshold differs in 14.4 on average; this is 3.8 deviations above it.
 MOST_SYMBOLS = 27
-#: With four bits of each symbol 18 differ on average; this is again 3.9 deviations above it.
-MOST_COMPLETE = 32
+#: With four bits of each symbol 18 differ on average; this is 3.3 deviations above it.
+MOST_COMPLETE = 30
 PLANES = ("plane_0", "plane_1", "plane_2", "plane_3")
 GRAMS_AT_ONCE = 1_500_000
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -187,7 +187,7 @@ def class_links(sketched: DataFrame, texts: DataFrame, threshold: float) -> tupl
 
     links = both.select("class_a", "class_b", "text_a", "text_b").mapInArrow(verify, "class_a string, class_b string, similarity double")
     members = sketched.select("copy", "id").distinct().join(classes.select("copy", "class_id"), "copy").select("class_id", "id")
-    return members, links
+    return cut(members), cut(links)
 
 
 def near_copies(rows: DataFrame, id_col: str = "chunk_id", text_col: str = "text", min_chars: int = MIN_CHARS, threshold: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
