@@ -21,7 +21,7 @@ PROBES, FROM_LIST, RERANKED = 8, 64, 200
 SUBSPACES, CODES = 32, 16
 #: The quantisers are fitted on at most so many vectors.
 TRAINING = 40_000
-ROWS_IN_BLOCK = 40_000
+ROWS_IN_BLOCK, QUERIES_AT_ONCE = 40_000, 1024
 
 
 def usable(vectors: DataFrame, id_col: str = "id", vector_col: str = "embedding", time_col: str = "created_at", dim: int = DIM) -> DataFrame:
@@ -112,72 +112,83 @@ def train(rows: DataFrame, total: int) -> Index:
     return Index(matrix(sample.column("v")).astype(np.float32), total)
 
 
-def search_cell(index: Index, cell: int, members: pa.Table, queries: pa.Table, k: int, least: float) -> pa.Table:
+def search_cell(index: Index, members: pa.Table, queries: pa.Table, k: int, least: float) -> pa.Table:
     """The k nearest members of the probed lists of this cell for each query."""
     x, q = matrix(members.column("v")), matrix(queries.column("v"))
     ids, query_ids = np.array(members.column("id").to_pylist(), object), np.array(queries.column("id").to_pylist(), object)
-    out_q, out_n, out_c = [], [], []
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     if len(x) and len(q):
         x32, q32 = x.astype(np.float32), q.astype(np.float32)
         home = nearest(x32, index.centroids)[0]
         codes = index.codes(x32, home)
+        codes = codes[:, 0::2] * CODES + codes[:, 1::2]  # two subspaces share a table of all their pairs
         by_list = np.argsort(home, kind="stable")
         names, starts = np.unique(home[by_list], return_index=True)
-        ends = dict(zip(names.tolist(), zip(starts.tolist(), np.append(starts[1:], len(home)).tolist())))
-        width = DIM // SUBSPACES
-        probes = [row for row in queries.column("lists").to_pylist()]
-        pairs_q = np.repeat(np.arange(len(q)), [len(p) for p in probes])
-        pairs_l = np.array([i for p in probes for i in p], np.int64)
-        order = np.argsort(pairs_l, kind="stable")
-        pairs_q, pairs_l = pairs_q[order], pairs_l[order]
-        near_q, near_m, near_s = [], [], []
-        first = np.flatnonzero(np.concatenate([[True], pairs_l[1:] != pairs_l[:-1]])) if len(pairs_l) else []
-        for a, b in zip(first, np.append(first[1:], len(pairs_l))):
-            if int(pairs_l[a]) not in ends:
-                continue
-            s, e = ends[int(pairs_l[a])]
-            inside = by_list[s:e]
-            own_codes = [np.ascontiguousarray(codes[inside, m]) for m in range(SUBSPACES)]
-            for c in range(a, b, 512):  # blocks of queries
-                own = pairs_q[c : min(b, c + 512)]
-                score = np.repeat((q32[own] @ index.centroids[int(pairs_l[a])])[:, None], len(inside), 1)
-                for m in range(SUBSPACES):
-                    table = q32[own][:, m * width : (m + 1) * width] @ index.books[m].T
-                    score += np.take(table, own_codes[m], axis=1)
-                r = min(FROM_LIST, len(inside))
-                top = np.argpartition(-score, r - 1, axis=1)[:, :r]
-                near_q.append(np.repeat(own, r))
-                near_m.append(inside[top].ravel())
-                near_s.append(np.take_along_axis(score, top, 1).ravel())
-        best_q, best_m, best_c = [], [], []
-        if near_q:
-            nq, nm, ns = np.concatenate(near_q), np.concatenate(near_m), np.concatenate(near_s)
-            order = np.lexsort((-ns, nq))
-            nq, nm = nq[order], nm[order]
-            start = np.flatnonzero(np.concatenate([[True], nq[1:] != nq[:-1]]))
-            kept = np.arange(len(nq)) - np.repeat(start, np.diff(np.append(start, len(nq)))) < RERANKED
-            nq, nm = nq[kept], nm[kept]
-            for a in range(0, len(nq), 100_000):
-                exact = np.einsum("nd,nd->n", q[nq[a : a + 100_000]], x[nm[a : a + 100_000]])
-                keep = exact >= least - 1e-12
-                best_q.append(nq[a : a + 100_000][keep])
-                best_m.append(nm[a : a + 100_000][keep])
-                best_c.append(exact[keep])
-        if best_q:
-            bq, bm, bc = np.concatenate(best_q), np.concatenate(best_m), np.concatenate(best_c)
-            differs = ids[bm] != query_ids[bq]
-            bq, bm, bc = bq[differs], bm[differs], bc[differs]
-            rank_of_id = np.empty(len(ids), np.int64)
-            rank_of_id[np.argsort(ids)] = np.arange(len(ids))
-            order = np.lexsort((rank_of_id[bm], -np.round(bc, 12), bq))
-            bq, bm, bc = bq[order], bm[order], bc[order]
-            start = np.flatnonzero(np.concatenate([[True], bq[1:] != bq[:-1]])) if len(bq) else np.zeros(0, np.int64)
-            place = np.arange(len(bq)) - np.repeat(start, np.diff(np.append(start, len(bq))))
-            keep = place < k
-            out_q, out_n, out_c = query_ids[bq[keep]].tolist(), ids[bm[keep]].tolist(), bc[keep].tolist()
+        inside = dict(zip(names.tolist(), np.split(by_list, starts[1:])))
+        probes = queries.column("lists").to_pylist()
+        for a in range(0, len(q), QUERIES_AT_ONCE):
+            found += search_block(index, x, x32, codes, inside, q, q32, probes, a, least)
+    out_q, out_n, out_c = [], [], []
+    if found:
+        bq, bm, bc = (np.concatenate(c) for c in zip(*found))
+        differs = ids[bm] != query_ids[bq]
+        bq, bm, bc = bq[differs], bm[differs], bc[differs]
+        rank_of_id = np.empty(len(ids), np.int64)
+        rank_of_id[np.argsort(ids)] = np.arange(len(ids))
+        order = np.lexsort((rank_of_id[bm], -np.round(bc, 12), bq))
+        bq, bm, bc = bq[order], bm[order], bc[order]
+        start = np.flatnonzero(np.concatenate([[True], bq[1:] != bq[:-1]])) if len(bq) else np.zeros(0, np.int64)
+        place = np.arange(len(bq)) - np.repeat(start, np.diff(np.append(start, len(bq))))
+        keep = place < k
+        out_q, out_n, out_c = query_ids[bq[keep]].tolist(), ids[bm[keep]].tolist(), bc[keep].tolist()
     return pa.table({"id": pa.array(out_q, pa.string()), "neighbour": pa.array(out_n, pa.string()), "cosine": pa.array(out_c, pa.float64())})
 
 
+def search_block(index: Index, x: np.ndarray, x32: np.ndarray, codes: np.ndarray, inside: dict[int, np.ndarray], q: np.ndarray, q32: np.ndarray, probes: list[list[int]], first: int, least: float) -> list[tuple]:
+    """Asymmetric distances of one block of queries to the members of their lists, then exact cosines of the best."""
+    part = q32[first : first + QUERIES_AT_ONCE]
+    n, width = len(part), part.shape[1] // SUBSPACES
+    halves = np.zeros((SUBSPACES, n, CODES), np.float32)  # few training vectors make fewer codewords
+    for m in range(SUBSPACES):
+        halves[m, :, : len(index.books[m])] = part[:, m * width : (m + 1) * width] @ index.books[m].T
+    tables = [(halves[m][:, :, None] + halves[m + 1][:, None, :]).reshape(n, -1) for m in range(0, SUBSPACES, 2)]
+    rows = probes[first : first + n]
+    own = np.repeat(np.arange(n), [len(r) for r in rows])
+    place = np.concatenate([np.arange(len(r)) for r in rows]) if len(own) else own
+    lists = np.array([i for r in rows for i in r], np.int64)
+    best = np.full((n, max((len(r) for r in rows), default=0), FROM_LIST), -np.inf, np.float32)
+    which = np.full(best.shape, -1, np.int32)
+    order = np.argsort(lists, kind="stable")
+    cuts = np.flatnonzero(np.diff(lists[order])) + 1
+    for pairs in np.split(order, cuts) if len(order) else []:
+        members = inside.get(int(lists[pairs[0]]))
+        if members is None:
+            continue
+        mine, at = own[pairs], place[pairs]
+        score = np.repeat((part[mine] @ index.centroids[lists[pairs[0]]])[:, None], len(members), 1)
+        for m, table in enumerate(tables):
+            score += np.take(table[mine], codes[members, m], axis=1)
+        r = min(FROM_LIST, len(members))
+        top = np.argpartition(-score, r - 1, axis=1)[:, :r]
+        best[mine, at, :r] = np.take_along_axis(score, top, 1)
+        which[mine, at, :r] = members[top]
+    best, which = best.reshape(n, -1), which.reshape(n, -1)
+    if best.shape[1] > RERANKED:
+        top = np.argpartition(-best, RERANKED - 1, axis=1)[:, :RERANKED]
+        which = np.take_along_axis(which, top, 1)
+    at, slot = np.nonzero(which >= 0)
+    m = which[at, slot]
+    out = []
+    for a in range(0, len(at), 200_000):
+        qs, ms = at[a : a + 200_000], m[a : a + 200_000]
+        near = np.einsum("nd,nd->n", part[qs], x32[ms]) >= least - 1e-5  # single precision first
+        qs, ms = qs[near] + first, ms[near]
+        exact = np.einsum("nd,nd->n", q[qs], x[ms])
+        keep = exact >= least - 1e-12
+        out.append((qs[keep], ms[keep], exact[keep]))
+    return out
+
+
 def neighbours(rows: DataFrame, queries: DataFrame | None = None, k: int = K, least_cosine: float = -1.0, probes: int = PROBES) -> DataFrame:
     """``id, neighbour, cosine, rank``: the k most similar other rows of every query, of at least ``least_cosine``.
 
@@ -228,7 +239,7 @@ def neighbours(rows: DataFrame, queries: DataFrame | None = None, k: int = K, le
     sent = asked.select("id", "v").mapInArrow(route, "id string, v array<float>, cell int, blocks int, lists array<int>").select("id", "v", "lists", "cell", every.alias("i"), block.alias("j"))
 
     def search(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        return search_cell(shared.value, 0, left, right, k, least_cosine)
+        return search_cell(shared.value, left, right, k, least_cosine)
 
     found = members.groupBy("cell", "i", "j").cogroup(sent.groupBy("cell", "i", "j")).applyInArrow(search, "id string, neighbour string, cosine double")
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc(F.round("cosine", 12)), "neighbour"))
