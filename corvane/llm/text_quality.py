@@ -24,18 +24,18 @@ PER_DOCUMENT, STAY, TRUST = 6.0, 8.0, 4.0
 WORDS = re.compile(r"[぀-ヿ一-鿿]|[^\W_぀-ヿ一-鿿]+")
 ITEM = re.compile(r"\s*(?:[-*+•·▪◦●‣–—]\s|\(?\d{1,3}(?:\.\d{1,3})*[.)]\s|\(?[a-zA-Z]\)\s|[①-⑳]|\[[ xX]\])")
 CONTENTS = re.compile(r"\S.*?(?:\.{3,}|…{2,}|(?:\. ){3,}|·{3,}|_{3,})\s*\d+\s*$")
-CELL_MARKS = re.compile(r"[\t;]|\s\|\s|</?t[dr]")
+CELL_MARKS = ("\t", ";", " | ", "<td", "</td", "<tr", "</tr")
 WIDE_GAPS = re.compile(r"\S {2,}(?=\S)")
 SENTENCE_END = re.compile(r"[.!?…。！？][\"'”’)\]»」』）]*(?:\s|$)")
 SYMBOLS = re.compile(r"[^\w\s.,;:!?'\"()\-。，、]")
 DIGITS = re.compile(r"\d")
-MIXED = re.compile(r"[^\W\d_]\d|\d[^\W\d_]|[^\W_][!|@#$][^\W_]")
+MIXED = re.compile(r"[0-9!|@#$](?:(?<=[^\W\d_][0-9])|(?<=[0-9])(?=[^\W\d_])|(?<=[^\W_][!|@#$])(?=[^\W_]))")
 
 
 def observe(line: str, words: list[str], known: set[str], common: set[str], seen: bool) -> tuple[tuple, int, int, bool]:
     """The coarse statistics of one line, each by its place in the tuple; common words, symbols, closed by a mark."""
     n, size, body = len(words), len(line), line.strip()
-    cells = len(CELL_MARKS.findall(line))
+    cells = sum(map(line.count, CELL_MARKS))
     gaps = len(WIDE_GAPS.findall(body)) if "  " in body else 0
     form = 3 if body.startswith("<!--") else 4 if body[0] == "#" else 1 if ITEM.match(line) else 2 if body[-1].isdigit() and CONTENTS.match(line) else 0
     table = bisect((1, 2, 4), cells + (gaps if gaps > 1 else 0))
