@@ -4,6 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from corvane.plans.islands import islands
+
+#: Rows of one recording are numbered in spans of so many seconds.
+SPAN_S = 900.0
+
 
 def gap_fill(segments: DataFrame, gap: float = 0.5, key: str = "recording_id") -> DataFrame:
     """Segments and, where one begins more than ``gap`` after the end of the one before, an UNKNOWN one between."""
@@ -30,12 +35,12 @@ def spoken(segments: DataFrame) -> DataFrame:
 
 
 def merge_adjacent(segments: DataFrame, order: list[str], key: str = "recording_id") -> DataFrame:
-    """Consecutive segments of one speaker become one, with their texts joined; UNKNOWN ones without text are dropped."""
-    w = Window.partitionBy(key).orderBy(*order)
-    marked = segments.withColumn("p", F.lag("speaker").over(w)).withColumn("new", F.when(F.col("p").eqNullSafe(F.col("speaker")) & F.col("p").isNotNull(), 0).otherwise(1))
-    islands = marked.withColumn("island", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    """Consecutive segments of one speaker become one, with their texts joined; UNKNOWN ones without text are dropped.
+    ``order`` begins with ``start``."""
+    span = F.floor(F.coalesce("start", F.lit(1e15)) / SPAN_S)
+    numbered = islands(segments, key, [F.col(c) for c in order], "speaker", span)
     at = F.struct(*order)
-    merged = islands.groupBy(key, "island").agg(F.first("speaker").alias("speaker"), F.min_by("start", at).alias("start"), F.max_by("end_time", at).alias("end_time"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, F.col("text").alias("said")))), lambda x: x["said"]), " ").alias("text"))
+    merged = numbered.groupBy(key, "island").agg(F.first("speaker").alias("speaker"), F.min_by("start", at).alias("start"), F.max_by("end_time", at).alias("end_time"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, F.col("text").alias("said")))), lambda x: x["said"]), " ").alias("text"))
     return merged.where(~((F.coalesce("speaker", F.lit("")) == "UNKNOWN") & (F.trim("text") == "")))
 
 

@@ -130,3 +130,21 @@ def test_expansion_restores_after_failures(spark):
     search = lambda w: (spark.createDataFrame([(w,)], "name string"), empty, ["z"] if w == "good" else [])
     out = reasoning.expand(state, search, lambda q, e, r: 0.9 if e.first()["name"] == "good" else 0.0, ["good", "b", "c", "d", "e"], width=1)
     assert rows(out.entities) == [("good",)] and out.notes[-1] == "restored"
+
+
+def test_islands_equal_a_loop(spark):
+    import random
+
+    from corvane.plans.islands import islands
+
+    rng = random.Random(6)
+    data = [("k" if rng.random() < 0.9 else None, i, rng.choice(["a", "b", None])) for i in range(500)]
+    df = spark.createDataFrame(data, "k string, i int, v string")
+    got = {(r["k"], r["i"]): r["n"] for r in islands(df, "k", [F.col("i")], "v", F.floor(F.col("i") / 37), "n").collect()}
+    for key in ("k", None):
+        n, last = 0, object()
+        for k, i, v in data:
+            if k == key:
+                n += v is None or v != last
+                last = v
+                assert got[k, i] == n
