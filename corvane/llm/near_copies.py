@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from corvane.plans.lineage import cut
 
-GRAM, SYMBOLS, SEGMENTS, WIDTH = 5, 64, 8, 6
+GRAM, SYMBOLS, SEGMENTS, WIDTH = 5, 64, 10, 6
 MIN_CHARS, SIMILARITY = 200, 0.7
 #: Of 64 two-bit symbols, a pair at the threshold differs in 14.4 on average; this is 3.8 deviations above it.
 MOST_SYMBOLS = 27
