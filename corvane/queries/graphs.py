@@ -255,8 +255,7 @@ def weighted(t):
 
 
 @query("A06_vote_merge", f"""WITH {BRANCHES}, v AS (SELECT question_id, name, count(DISTINCT branch_id) AS votes FROM be GROUP BY 1, 2 HAVING count(DISTINCT branch_id) >= 2)
-    SELECT question_id, name, votes FROM v UNION ALL SELECT DISTINCT be.question_id, be.branch_id || '', 0 FROM be WHERE false
-    UNION ALL SELECT question_id, name, 1 FROM (SELECT DISTINCT be.question_id, be.branch_id, name FROM be JOIN pl USING (question_id, branch_id) WHERE place = 1 AND be.question_id NOT IN (SELECT question_id FROM v))""")
+    SELECT question_id, name, votes FROM v UNION ALL SELECT question_id, name, 1 FROM (SELECT DISTINCT be.question_id, be.branch_id, name FROM be JOIN pl USING (question_id, branch_id) WHERE place = 1 AND be.question_id NOT IN (SELECT question_id FROM v))""")
 def votes(t):
     return reasoning.merge_votes(*branches(t))
 
