@@ -115,7 +115,7 @@ def feedback(t):
     return t.documents.select("doc_id", F.when(routing.answer_scores("text", "lang")["needs_improvement"], 1).otherwise(0).alias("loops"))
 
 
-@query("R37_query_rewrite_parse", f"WITH {Q} SELECT text, CASE WHEN text = 'first way' THEN 'first way|second' ELSE text || '|first way|second' END FROM q")
+@query("R37_query_rewrite_parse", f"WITH {Q} SELECT text, CASE WHEN text = 'first way' THEN 'first way|second' ELSE text || '|first way|second' END AS rewrites FROM q")
 def rewrite(t):
     reply = F.lit("Here are some:\n1. first way\n 2. second\n3. third\nnot 4. this")
     return asked(t).select("text", F.array_join(routing.rewrites(reply, "text"), "|").alias("rewrites"))
