@@ -61,6 +61,23 @@ def traverse(edges: DataFrame, seeds: DataFrame, max_hops: int) -> tuple[DataFra
     return visited, edges.join(relations, "edge_id")
 
 
+def traverse_each(edges: DataFrame, seeds: DataFrame, max_hops: int) -> tuple[DataFrame, DataFrame]:
+    """``traverse`` for many questions at once, from ``seeds (query_id, id)``: ``(reached (query_id, id, hop),
+    relations (query_id, edge_id, hop))``."""
+    steps = cut(both_ways(edges))
+    visited = cut(seeds.select("query_id", "id", F.lit(0).alias("hop")).distinct())
+    frontier, followed = visited, None
+    for hop in range(1, max_hops + 1):
+        met = steps.join(frontier.select("query_id", F.col("id").alias("a")), "a").select("query_id", "b", "edge_id")
+        hops = met.select("query_id", "edge_id", F.lit(hop).alias("hop")).distinct()
+        followed = hops if followed is None else followed.union(hops)
+        frontier = cut(met.select("query_id", F.col("b").alias("id")).distinct().join(visited, ["query_id", "id"], "left_anti").select("query_id", "id", F.lit(hop).alias("hop")))
+        if frontier.isEmpty():
+            break
+        visited = cut(visited.union(frontier))
+    return visited, followed.groupBy("query_id", "edge_id").agg(F.min("hop").alias("hop"))
+
+
 def paths(edges: DataFrame, starts: DataFrame, max_hops: int, limit: int | None = None) -> DataFrame:
     """``start, nodes, edge_ids, hops``: all trails of 1 to ``max_hops`` steps in either direction that use no edge
     twice, in order of their nodes and edges."""

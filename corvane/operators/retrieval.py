@@ -120,6 +120,14 @@ def two_stage_image_filter(hits: DataFrame, keys: list[str], least: float = 0.5,
     return top_per(first.where(~F.col("reranked") | (F.col("score") >= least_reranked)), keys, [F.desc("score"), F.col("id")], k, "r2").drop("r1", "r2")
 
 
+def with_defaults(near: DataFrame, keys: list[str], default: Column, k: int, most: int = 5) -> DataFrame:
+    """The first k hits by ``rank``, ``part`` 0, and after them up to ``most`` of all that are ``default``, ``part`` 1;
+    a hit may come in both."""
+    first = near.where(F.col("rank") <= k).withColumn("pos", F.col("rank")).withColumn("part", F.lit(0))
+    more = top_per(near.where(default), keys, [F.col("rank")], most, "pos").withColumn("pos", F.col("pos") + k).withColumn("part", F.lit(1))
+    return first.unionByName(more)
+
+
 def passage(row_text: str, caption: str, description: str, title: str, file_path: str) -> Column:
     """The first of text, caption, description and title that is not empty, with title and file lines."""
     some = lambda c: F.nullif(F.col(c), F.lit(""))

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from corvane.operators import context, graph, graph_build, reasoning
+from corvane.functions.text import bm25_query
+from corvane.operators import context, graph, graph_build, reasoning, retrieval
 from corvane.queries.registry import Tables, query
+from corvane.queries.search import CLEANED, bm25_sql
 
 NODES = "n AS (SELECT id, min(name) AS name, min(type) AS type, min(doc_id) AS doc_id FROM graph_nodes GROUP BY id)"
 EDGES = "e AS (SELECT DISTINCT src, tgt, coalesce(relation, '') AS relation, src || '|' || coalesce(relation, '') || '|' || tgt AS edge_id FROM graph_edges WHERE src IS NOT NULL AND tgt IS NOT NULL)"
@@ -330,6 +332,49 @@ def single_hop(t):
     return s.orderBy("id").limit(5).select(F.lit("entity").alias("part"), F.col("id").alias("key")).union(r.select(F.lit("relation"), "edge_id"))
 
 
+#: Questions of the whole searches over the graph.
+ASKED = [(1, "the sensor of the vector store"), (2, "Which review did the scanner protocol have?"), (3, "프레임워크의 색인은 launch")]
+ASKED_SQL = f"gq AS (SELECT query_id, {CLEANED} AS query FROM (VALUES " + ", ".join(f"({i}, '{x}')" for i, x in ASKED) + f") g(query_id, query)), {NODES}, {EDGES}, cn AS (SELECT id, name AS text FROM n), {bm25_sql('gq', 'cn', '_n')}"
+TITLES = """ce AS (SELECT DISTINCT coalesce(nullif(trim(e.name), ''), nullif(trim(e.title), ''), 'Unknown') AS id, id AS text FROM (SELECT unnest(events) AS e FROM (SELECT max_by(events, extracted_at) AS events FROM extractions GROUP BY document_id)))"""
+
+
+def asked(t: Tables) -> DataFrame:
+    return t.spark.createDataFrame(ASKED, "query_id int, query string").select("query_id", bm25_query("query").alias("query"))
+
+
+@query("R14_single_hop_whole", f"""WITH {ASKED_SQL}, {TITLES}, {bm25_sql("gq", "ce", "_e")},
+    nr AS (SELECT DISTINCT query_id, edge_id FROM e JOIN hits_n h ON h.rank <= 5 AND h.id IN (src, tgt)),
+    rr AS (SELECT query_id, edge_id, row_number() OVER (PARTITION BY query_id ORDER BY edge_id) AS rank FROM nr)
+    SELECT query_id, 'entity' AS part, id AS key, score, rank FROM hits_n WHERE rank <= 5 UNION ALL SELECT query_id, 'event', id, score, rank FROM hits_e WHERE rank <= 5
+    UNION ALL SELECT query_id, 'relation', edge_id, NULL, rank FROM rr WHERE rank <= 10""")
+def single_hop_whole(t):
+    events = graph_build.upsert_events(latest(t).select("document_id", F.explode("events").alias("e")).select("document_id", "e.name", "e.title"))
+    return single_hop_of(asked(t), nodes(t), events, edges(t))
+
+
+def single_hop_of(questions: DataFrame, nodes: DataFrame, events: DataFrame, edges: DataFrame) -> DataFrame:
+    """The five entities and the five events that BM25 finds for each question, and ten relations of these entities."""
+    found = retrieval.bm25(nodes, questions, "id", "name", 5)
+    titles = retrieval.bm25(events.select("name").distinct(), questions, "name", "name", 5)
+    met = graph.both_ways(edges).join(found.select("query_id", F.col("id").alias("a")), "a").select("query_id", "edge_id").distinct()
+    relations = retrieval.top_per(met, ["query_id"], [F.col("edge_id")], 10)
+    shown = lambda rows, part, key, score: rows.select("query_id", F.lit(part).alias("part"), F.col(key).alias("key"), score.alias("score"), "rank")
+    return shown(found, "entity", "id", F.col("score")).union(shown(titles, "event", "id", F.col("score"))).union(shown(relations, "relation", "edge_id", F.lit(None).cast("double")))
+
+
+@query("R11_crossref_whole", f"""WITH RECURSIVE {ASKED_SQL}, {BOTH},
+    walk AS (SELECT query_id, id, 0 AS hop FROM hits_n WHERE rank <= 10 UNION SELECT walk.query_id, b.b, walk.hop + 1 FROM walk JOIN b ON b.a = walk.id WHERE walk.hop < 3),
+    reached AS (SELECT query_id, id, min(hop) AS hop FROM walk GROUP BY 1, 2)
+    SELECT query_id, 'entity' AS part, id AS key, hop FROM reached JOIN n USING (id) WHERE hop > 0
+    UNION ALL SELECT query_id, 'relation', edge_id, min(hop) + 1 FROM reached r JOIN b ON b.a = r.id WHERE hop < 3 GROUP BY query_id, edge_id""")
+def crossref_whole(t):
+    """R02 seeds, ten of each question, then R10; seeds are not returned."""
+    n, e = nodes(t), edges(t)
+    reached, relations = graph.traverse_each(e, retrieval.bm25(n, asked(t), "id", "name", 10), 3)
+    entities = reached.where("hop > 0").join(n.select("id"), "id", "left_semi")
+    return entities.select("query_id", F.lit("entity").alias("part"), F.col("id").alias("key"), "hop").union(relations.select("query_id", F.lit("relation").alias("part"), F.col("edge_id").alias("key"), "hop"))
+
+
 RECENT = f"""WITH {ENTITIES}, r AS (SELECT document_id, name, row_number() OVER (PARTITION BY document_id ORDER BY pos DESC) AS back FROM x WHERE name IS NOT NULL), f AS (SELECT document_id, name, min(back) AS back FROM r WHERE back <= 8 GROUP BY 1, 2),
     p AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY back) AS place FROM f)"""
 

@@ -31,6 +31,23 @@ BM25 = f"""WITH q AS ({QUESTIONS}),
     hits AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM scored)"""
 
 
+def bm25_sql(asked: str, corpus: str, tag: str) -> str:
+    """``hits`` + tag: BM25 of the questions ``asked (query_id, query)`` over ``corpus (id, text)``."""
+    return f"""asked{tag} AS (SELECT DISTINCT query_id, unnest(regexp_extract_all(lower(query), '[a-z0-9]+|[가-힣]+')) AS term FROM {asked}),
+    words{tag} AS (SELECT id, regexp_extract_all(lower(text), '[a-z0-9]+|[가-힣]+') AS w FROM {corpus} WHERE text IS NOT NULL),
+    corpus{tag} AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM words{tag}),
+    post{tag} AS (SELECT id, term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT id, len(w) AS dl, unnest(w) AS term FROM words{tag}) GROUP BY id, term),
+    df{tag} AS (SELECT term, count(*) AS df FROM post{tag} GROUP BY term),
+    scored{tag} AS (SELECT a.query_id, p.id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean))), 6) AS score
+        FROM asked{tag} a JOIN post{tag} p USING (term) JOIN df{tag} USING (term) CROSS JOIN corpus{tag} GROUP BY a.query_id, p.id),
+    hits{tag} AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM scored{tag})"""
+
+
+#: R01 as an expression of ``query``.
+CLEANED = f"""(CASE WHEN len(list_concat(regexp_extract_all(query, '[A-Za-z][A-Za-z0-9_\\-]+'), list_filter(list_transform(regexp_extract_all(query, '[가-힣]+'), lambda w: regexp_replace(w, '({PARTICLES})$', '')), lambda w: length(w) >= 2))) > 0
+    THEN array_to_string(list_concat(regexp_extract_all(query, '[A-Za-z][A-Za-z0-9_\\-]+'), list_filter(list_transform(regexp_extract_all(query, '[가-힣]+'), lambda w: regexp_replace(w, '({PARTICLES})$', '')), lambda w: length(w) >= 2)), ' ') ELSE query END)"""
+
+
 def hits(t: Tables, k: int) -> DataFrame:
     return retrieval.bm25(t.documents, questions(t), "doc_id", "text", k)
 
@@ -106,6 +123,19 @@ def image_search(t):
     return retrieval.top_per(found, ["query_id"], [F.desc("score"), F.col("id")], 3)
 
 
+@query("R05_image_search_whole", PIPELINE + """, more AS (SELECT *, 3 + row_number() OVER (PARTITION BY query_id ORDER BY r) AS pos FROM s WHERE label % 3 = 0),
+    u AS (SELECT query_id, id, sim, label, r AS pos, 0 AS part FROM s WHERE r <= 3 UNION ALL SELECT query_id, id, sim, label, pos, 1 FROM more WHERE pos <= 8),
+    f AS (SELECT query_id, id, sim AS score, part, row_number() OVER (PARTITION BY query_id ORDER BY pos) AS rank FROM u WHERE sim >= 0.5 AND label % 2 = 0)
+    SELECT query_id, id, score, part, rank FROM f WHERE rank <= 3""")
+def image_search_whole(t):
+    """R03, U02, F05, first three. Labels stand for kinds as in R05 and for images without session as in U02."""
+    asked = t.embeddings.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("v"))
+    near = retrieval.near_vectors(t.embeddings, asked, "vec_id", "embedding", 20).join(t.embeddings.select(F.col("vec_id").alias("id"), "label"), "id")
+    scored = near.withColumn("score", F.round(vectors.similarity_from_distance("distance"), 6))
+    found = retrieval.with_defaults(scored, ["query_id"], F.col("label") % 3 == 0, 3).where("score >= 0.5 and label % 2 = 0")
+    return retrieval.top_per(found.select("query_id", "id", "score", "part", "pos"), ["query_id"], [F.col("pos")], 3).drop("pos")
+
+
 @query("R08_format_passage", r"""SELECT chunk_id, concat_ws(chr(10), coalesce(nullif(text, ''), nullif(raw_text, ''), nullif(content_type, ''), nullif(chunk_id, '')), 'Title: ' || nullif(chunk_id, ''), 'File: ' || nullif(metadata['file_path'], '')) AS passage
     FROM (SELECT DISTINCT chunk_id, text, raw_text, content_type, metadata['file_path'] AS f, metadata FROM chunks)""")
 def format_passage(t):
@@ -132,6 +162,56 @@ def fusion(t):
     return retrieval.top_per(best, ["query_id"], [F.desc("score"), F.col("pos")], 5).select("query_id", "id", "score", "rank")
 
 
+WHOLE = f"""WITH q AS ({QUESTIONS}),
+    v AS (SELECT query_id, query, min(p) AS p FROM (SELECT query_id, query, 0 AS p FROM q UNION ALL SELECT query_id, lower(query), 1 FROM q UNION ALL SELECT query_id, {CLEANED}, 2 FROM q) GROUP BY 1, 2),
+    rw AS (SELECT query_id AS question, p, query, query_id || '|' || p AS query_id, list_distinct(regexp_extract_all(lower(query), '[a-zA-Z가-힣]+')) AS qt FROM v),
+    ct AS (SELECT doc_id AS id, text FROM documents), ci AS (SELECT page_id AS id, max_by(natural_text, received_at) AS text FROM page_responses WHERE is_diagram AND natural_text IS NOT NULL GROUP BY page_id),
+    {bm25_sql("rw", "ct", "_t")}, {bm25_sql("rw", "ci", "_i")},
+    o AS (SELECT h.*, rw.question, rw.p, CASE WHEN len(qt) = 0 THEN 0.0 ELSE round(len(list_intersect(qt, list_distinct(regexp_extract_all(lower(text), '[a-zA-Z가-힣]+')))) / len(qt), 6) END AS again
+        FROM (SELECT 'text' AS searcher, hits_t.*, ct.text FROM hits_t JOIN ct USING (id) WHERE rank <= 10 UNION ALL SELECT 'image', hits_i.*, ci.text FROM hits_i JOIN ci USING (id) WHERE rank <= 10) h JOIN rw USING (query_id)),
+    o2 AS (SELECT searcher, question, p, id, again AS score, row_number() OVER (PARTITION BY searcher, query_id ORDER BY again DESC, id) AS r FROM o),
+    kept AS (SELECT searcher, question, id, score, p * 10 + r AS pos FROM o2 WHERE searcher = 'text' AND (score >= 0.3 OR r = 1) AND r <= 5
+        UNION ALL SELECT searcher, question, id, score, p * 10 + r FROM o2 WHERE searcher = 'image' AND score >= 0.7 AND r <= 3),
+    al AS (SELECT doc_id, document_id FROM documents WHERE session_id IN (SELECT session_id FROM transcriptions)),
+    ok AS (SELECT * FROM kept WHERE (searcher = 'text' AND id IN (SELECT doc_id FROM al)) OR (searcher = 'image' AND id IN (SELECT page_id FROM page_responses WHERE document_id IN (SELECT document_id FROM al)))),
+    best AS (SELECT *, row_number() OVER (PARTITION BY question, searcher, id ORDER BY score DESC, pos) AS r FROM ok),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY question, searcher ORDER BY score DESC, pos) AS rank, count(*) OVER (PARTITION BY question, searcher) AS results FROM best WHERE r = 1)"""
+
+
+def searched(rewrites: DataFrame, corpus: DataFrame) -> DataFrame:
+    """Ten hits of each rewrite in ``corpus (id, text)`` by BM25, with both texts. Rewrites that have the same terms
+    are searched once."""
+    keyed = rewrites.withColumn("terms", F.array_join(F.array_sort(F.array_distinct(retrieval.terms_of("query"))), " "))
+    found = retrieval.bm25(corpus, keyed.select(F.col("terms").alias("query_id"), F.col("terms").alias("query")).distinct(), "id", "text", 10)
+    return keyed.join(found.select(F.col("query_id").alias("terms"), "id", "score"), "terms").drop("terms").join(corpus, "id")
+
+
+def fused_whole(asked: DataFrame, texts: DataFrame, images: DataFrame, allowed_texts: DataFrame, allowed_images: DataFrame) -> DataFrame:
+    """Rewrites of each question (the question, lower case, R01) to both searchers, each reranked; images through F12,
+    all through F15, then A01 for each question and searcher. A question without results has a row with an error."""
+    every = asked.select("query_id", F.posexplode(F.array("query", F.lower("query"), bm25_query("query"))).alias("p", "query")).groupBy("query_id", "query").agg(F.min("p").alias("p"))
+    rewrites = every.select(F.col("query_id").alias("question"), "p", "query", F.concat_ws("|", "query_id", F.col("p").cast("string")).alias("query_id"))
+    score = retrieval.overlap_score("query", "text")
+    shown = lambda rows, name, place: rows.select("question", F.lit(name).alias("searcher"), "id", "score", (F.col("p") * 10 + F.col(place)).alias("pos"))
+    text = retrieval.rerank(searched(rewrites, texts), ["query_id"], score, 0.3, 5)
+    image = retrieval.two_stage_image_filter(searched(rewrites, images).withColumn("score", score).withColumn("reranked", F.lit(True)), ["query_id"])
+    image = retrieval.top_per(image, ["query_id"], [F.desc("score"), F.col("id")], 3)
+    pooled = shown(text, "text", "rank").join(allowed_texts, "id", "left_semi").unionByName(shown(image, "image", "rank").join(allowed_images, "id", "left_semi"))
+    best = retrieval.dedupe_max_score(pooled, ["question", "searcher", "id"])
+    ranked = retrieval.top_per(best, ["question", "searcher"], [F.desc("score"), F.col("pos")], 2**31 - 1)
+    ranked = ranked.withColumn("results", F.count(F.lit(1)).over(Window.partitionBy("question", "searcher"))).withColumnRenamed("question", "query_id")
+    return asked.select("query_id").join(ranked, "query_id", "left").select("query_id", "searcher", "id", "score", "rank", F.coalesce("results", F.lit(0)).alias("results"), F.when(F.col("id").isNull(), "검색 결과가 없습니다.").alias("error"))
+
+
+@query("R09_parallel_fusion_whole", WHOLE + " SELECT q.query_id, searcher, id, score, rank, coalesce(results, 0) AS results, CASE WHEN id IS NULL THEN '검색 결과가 없습니다.' END AS error FROM q LEFT JOIN ranked ON question = q.query_id")
+def fusion_whole(t):
+    """Documents are searched for text and diagram pages for images; both by words, which stand for a model."""
+    diagrams = t.page_responses.where("is_diagram and natural_text is not null").groupBy(F.col("page_id").alias("id")).agg(F.max_by("natural_text", "received_at").alias("text"))
+    allowed = t.documents.join(t.transcriptions.select("session_id").distinct(), "session_id", "left_semi")
+    pages = t.page_responses.join(allowed.select("document_id").distinct(), "document_id", "left_semi").select(F.col("page_id").alias("id")).distinct()
+    return fused_whole(questions(t), t.documents.select(F.col("doc_id").alias("id"), "text"), diagrams, allowed.select(F.col("doc_id").alias("id")), pages)
+
+
 @query("A01_dedupe_max_score", FUSED + " SELECT query_id, id, score FROM best WHERE r = 1")
 def dedupe(t):
     return retrieval.dedupe_max_score(fused(t), ["query_id", "id"]).select("query_id", "id", "score")
