@@ -288,6 +288,12 @@ def documents_of(segmented: DataFrame) -> DataFrame:
     )
 
 
+def every_item(items: DataFrame, id_col: str, told: DataFrame) -> DataFrame:
+    """``documents_of`` with a row for each distinct id of ``items``: ``und`` with confidence 0 where nothing was told."""
+    ids = items.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("string").alias("id")).distinct()
+    return ids.join(told, "id", "left").select("id", F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"), F.coalesce("languages", F.array().cast("array<string>")).alias("languages"))
+
+
 def label_codes(column: F.Column) -> F.Column:
     """``label_code`` as a column expression."""
     word = F.lower(F.trim(column))

@@ -48,9 +48,12 @@ def p3_segments(spark, d):
 
 
 def p3_items(spark, d):
-    pages, of_pages, of_chunks = language_items(spark, d)
-    chunks = languages.documents_of(of_chunks).select(F.lit("chunk").alias("source"), F.col("id").alias("item_id"), "lang", "confidence", "languages")
-    return languages.documents_of(of_pages).select(F.lit("page").alias("source"), F.col("id").alias("item_id"), "lang", "confidence", "languages").union(chunks)
+    """A row for every page_id and chunk_id, also of those without words."""
+    _, of_pages, of_chunks = language_items(spark, d)
+    pages = languages.every_item(table(spark, d, "page_responses"), "page_id", languages.documents_of(of_pages))
+    chunks = languages.every_item(table(spark, d, "chunks"), "chunk_id", languages.documents_of(of_chunks))
+    shown = lambda rows, source: rows.select(F.lit(source).alias("source"), F.col("id").alias("item_id"), "lang", "confidence", "languages")
+    return shown(pages, "page").union(shown(chunks, "chunk"))
 
 
 def p3_found(spark, d):
