@@ -145,9 +145,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": """
-            SELECT DISTINCT c.chunk_id FROM chunks c
-            JOIN size_limits l ON lower(trim(l.content_type)) = coalesce(lower(trim(c.content_type)), 'mixed')
-            WHERE length(c.text) > l.max_size""",
+            SELECT chunk_id FROM (
+                SELECT c.chunk_id, length(c.text) AS n, l.max_size,
+                       row_number() OVER (PARTITION BY c.chunk_id ORDER BY coalesce(c.metadata['ingested_at'], '') DESC, coalesce(length(c.text), -1) DESC,
+                                          c.document_id DESC NULLS LAST, c.start_pos DESC NULLS LAST, c.token_start DESC NULLS LAST, l.max_size DESC NULLS LAST) AS r
+                FROM chunks c LEFT JOIN size_limits l ON lower(trim(l.content_type)) = coalesce(lower(trim(c.content_type)), 'mixed'))
+            WHERE r = 1 AND n > max_size""",
         "p4_found": """
             WITH latest AS (
                 SELECT id, max_by(embedding, created_at) AS v FROM vectors

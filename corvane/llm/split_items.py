@@ -111,10 +111,11 @@ def cuts(text: str, max_size: int, overlap: int) -> list[tuple[int, int]]:
 
 
 def latest_chunks(chunks: DataFrame, *columns: str) -> DataFrame:
-    """One row for each chunk_id, of the latest ``metadata['ingested_at']``. Aggregated before the shuffle."""
+    """One row for each chunk_id: the latest ``metadata['ingested_at']``, of these the longest text, then the greatest of
+    the other columns in their order, the last being the text. Aggregated before the shuffle."""
     age = F.coalesce(F.col("metadata")["ingested_at"], F.lit(""))
     rest = F.struct(*[F.col(c) for c in columns])
-    return chunks.groupBy("chunk_id").agg(F.max(F.struct(age.alias("age"), rest.alias("rest"))).alias("kept")).select("chunk_id", "kept.rest.*")
+    return chunks.groupBy("chunk_id").agg(F.max(F.struct(age.alias("age"), F.coalesce("n", F.lit(-1)).alias("n"), rest.alias("rest"))).alias("kept")).select("chunk_id", "kept.n", "kept.rest.*")
 
 
 def with_limits(chunks: DataFrame, limits: DataFrame) -> DataFrame:
@@ -140,9 +141,14 @@ def split_oversized(chunks: DataFrame, limits: DataFrame, only_oversized: bool =
     """
     fields = ["document_id", "text", "start_pos", "token_start", "content_type"]
     rows = with_limits(chunks.select("chunk_id", "metadata", *fields), limits)
+    rows = rows.withColumn("n", F.length("text"))
+    long = F.col("n") > F.col("max_size")
+    if only_oversized:  # the latest row decides, so the others go along, but without their texts
+        rows = rows.withColumn("text", F.when(long, F.col("text")))
+    rows = latest_chunks(rows, "document_id", "start_pos", "token_start", "max_size", "overlap", "text")
     if only_oversized:
-        rows = rows.where(F.length("text") > F.col("max_size"))
-    rows = latest_chunks(rows, "document_id", "text", "start_pos", "token_start", "max_size", "overlap")
+        rows = rows.where(long)
+    rows = rows.select("chunk_id", "document_id", "text", "start_pos", "token_start", "max_size", "overlap")
 
     def run(frames):
         for frame in frames:

@@ -19,8 +19,8 @@ LIST_SIZE, MAX_LISTS, LISTS_IN_CELL = 200, 4096, 24
 #: Lists searched for a query, and members of one list and of one cell that are ranked exactly.
 PROBES, FROM_LIST, RERANKED = 8, 64, 200
 SUBSPACES, CODES = 32, 16
-#: The quantisers are fitted on at most so many vectors.
-TRAINING = 40_000
+#: The centroids are fitted on at most so many vectors, the codebooks on so many of them, drawn at random.
+TRAINING, FITTED = 40_000, 20_000
 ROWS_IN_BLOCK, QUERIES_AT_ONCE = 40_000, 1024
 
 
@@ -35,16 +35,15 @@ def usable(vectors: DataFrame, id_col: str = "id", vector_col: str = "embedding"
     return cut(last.select("id", "kept.v"))
 
 
-def without_far_copies(rows: DataFrame, k: int) -> DataFrame:
-    """Of rows with one and the same vector, only the k + 1 least ids can be among anyone's k nearest."""
+def far_copies(rows: DataFrame, k: int) -> DataFrame:
+    """``id, like`` of rows whose vector more than k lesser ids have. Nobody has them among the k nearest, and their own
+    neighbours are those of ``like``, the (k + 1)-th id with their vector."""
     h = rows.select("id", F.xxhash64("v").alias("h"))
     crowd = h.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > k + 1).select("h")
-    if crowd.isEmpty():
-        return rows
-    place = F.row_number().over(Window.partitionBy("h").orderBy("id"))
-    kept = h.join(crowd, "h", "left_semi").withColumn("r", place).where(F.col("r") <= k + 1).select("id")
-    crowded = rows.withColumn("h", F.xxhash64("v")).join(crowd, "h", "left_semi").drop("h").join(kept, "id", "left_semi")
-    return rows.withColumn("h", F.xxhash64("v")).join(crowd, "h", "left_anti").select("id", "v").union(crowded.select("id", "v"))
+    crowded = h.join(crowd, "h", "left_semi")
+    least = crowded.withColumn("r", F.row_number().over(Window.partitionBy("h").orderBy("id"))).where(F.col("r") <= k + 1)
+    last = least.groupBy("h").agg(F.max("id").alias("like"))
+    return crowded.join(last, "h").where(F.col("id") > F.col("like")).select("id", "like")
 
 
 def lloyd(x: np.ndarray, k: int, rounds: int, seed: int = 7) -> np.ndarray:
@@ -88,7 +87,8 @@ class Index:
         near, _ = nearest(sample, self.centroids)
         residual = sample - self.centroids[near]
         width = sample.shape[1] // SUBSPACES
-        self.books = np.stack([lloyd(residual[: 20_000, m * width : (m + 1) * width], min(CODES, len(residual)), 6, seed=m) for m in range(SUBSPACES)])
+        residual = residual[np.random.default_rng(5).permutation(len(residual))[:FITTED]]
+        self.books = np.stack([lloyd(residual[:, m * width : (m + 1) * width], min(CODES, len(residual)), 6, seed=m) for m in range(SUBSPACES)])
         rows = np.bincount(self.cell[near], minlength=cells) * (total / max(1, len(sample)))
         self.blocks = np.maximum(1, np.ceil(rows / ROWS_IN_BLOCK)).astype(np.int64)
 
@@ -194,14 +194,20 @@ def neighbours(rows: DataFrame, queries: DataFrame | None = None, k: int = K, le
 
     ``rows`` and ``queries`` have ``id, v`` (see ``usable``); without ``queries`` every row is one. Ties are broken by
     the lesser id. Every row is indexed; of rows with one vector, the k + 1 least ids are, as no other can be among
-    the k nearest. Only the trained index is shipped: at most 4,096 centroids and 32 x 16 codewords. A cell that
+    the k nearest, and the others get the neighbours of the last of these. Only the trained index is shipped: at most 4,096 centroids and 32 x 16 codewords. A cell that
     the sample shows to be crowded is split into blocks of rows and of queries.
     """
     total = rows.count()
     if total == 0:
         return rows.sparkSession.createDataFrame([], "id string, neighbour string, cosine double, rank int")
-    indexed = without_far_copies(rows, k)
+    far = cut(far_copies(rows, k))
+    copied = not far.isEmpty()
+    indexed = rows.join(far.select("id"), "id", "left_anti") if copied else rows
     asked = indexed if queries is None else queries
+    if copied and queries is not None:
+        far = far.join(queries.select("id"), "id", "left_semi")
+        asked = queries.join(far.select("id"), "id", "left_anti").select("id", "v")
+        asked = asked.union(indexed.join(far.select(F.col("like").alias("id")), "id", "left_semi").join(queries.select("id"), "id", "left_anti").select("id", "v"))
     index = train(rows, total)
     shared = rows.sparkSession.sparkContext.broadcast(index)
 
@@ -243,7 +249,12 @@ def neighbours(rows: DataFrame, queries: DataFrame | None = None, k: int = K, le
 
     found = members.groupBy("cell", "i", "j").cogroup(sent.groupBy("cell", "i", "j")).applyInArrow(search, "id string, neighbour string, cosine double")
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc(F.round("cosine", 12)), "neighbour"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+    ranked = found.withColumn("rank", rank).where(F.col("rank") <= k)
+    if not copied:
+        return ranked
+    of_far = far.join(ranked.withColumnRenamed("id", "like"), "like").select("id", "neighbour", "cosine", "rank")
+    own = ranked if queries is None else ranked.join(queries.select("id"), "id", "left_semi").select(*ranked.columns)
+    return own.select("id", "neighbour", "cosine", "rank").union(of_far)
 
 
 def mutual_pairs(found: DataFrame, least_cosine: float) -> DataFrame:

@@ -126,3 +126,26 @@ def test_split_rows(spark):
     assert got["c2"][0]["text"] is None and got["c3"][0]["start_pos"] == 0
     assert [r["chunk_id"] for r in split_items.split_oversized(chunks, limits, only_oversized=True).where("piece_no = 0").orderBy("chunk_id").collect()] == ["c1", "c4"]
     assert split_items.split_oversized(chunks.limit(0), limits).count() == 0
+
+
+def test_the_latest_row_is_measured(spark):
+    """A chunk delivered long and then short is not oversized, one delivered short and then long is."""
+    rows = [("c", "d", "One two. " * 30, 0, 0, "text", {"ingested_at": "2024"}, None, None, None), ("c", "d", "One two.", 0, 0, "text", {"ingested_at": "2025"}, None, None, None)]
+    rows += [("e", "d", "One two.", 0, 0, "text", {"ingested_at": "2024"}, None, None, None), ("e", "d", "One two. " * 30, 0, 0, "text", {"ingested_at": "2025"}, None, None, None)]
+    limits = spark.createDataFrame([("text", "characters", 100, 10)], LIMITS)
+    for only in (True, False):
+        pieces = split_items.split_oversized(spark.createDataFrame(rows, CHUNKS), limits, only_oversized=only)
+        assert {r["chunk_id"] for r in pieces.where("oversized").collect()} == {"e"}
+
+
+def test_pieces_are_bounded_overlap_and_cohere():
+    """Cuts lie where the blocks before and after are less alike than at other pauses."""
+    rng = random.Random(4)
+    topics = [["".join(rng.choice("abcdefghijkl") for _ in range(6)) for _ in range(12)] for _ in range(30)]
+    text = "  ".join(" ".join(f"{' '.join(rng.choice(t) for _ in range(8))}." for _ in range(9)) for t in topics)
+    pieces = split_items.cuts(text, 900, 40)
+    assert all(b - a <= 900 for a, b in pieces) and all(q[0] == p[1] - 40 for p, q in zip(pieces, pieces[1:]))
+    assert all(text[:b].rstrip().endswith(".") for _, b in pieces[:-1])
+    gaps, _ = split_items.gaps_of(text)
+    depth = dict(zip(gaps.tolist(), split_items.cohesion_depths(text, gaps)))
+    assert np.mean([depth[b] for _, b in pieces[:-1]]) > 2 * np.mean(list(depth.values()))
