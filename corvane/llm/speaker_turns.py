@@ -1,138 +1,267 @@
 """Speech transcripts into clean speaker turns by a hidden Markov model over tokens.
 
-Each token of a segment is a speaker label, a timestamp, an annotation, a filler or speech. The tokens' shapes are
-the observations; start, transition and emission probabilities begin as priors and are re-estimated on a bounded
-sample; Viterbi decoding gives the labels. What is labelled speech makes parts of one speaker, and consecutive parts
-of one speaker make a turn.
+Each token of a segment belongs to a speaker label, a timestamp, an annotation, a filler or to speech. What is observed
+of a token says nothing of that: it is a punctuation mark, a number with its count of digits, a word that the model
+knows by itself, or a run of other words with its length; with case, what follows, and whether it is glued to the token
+before. Labels, timestamps, annotations and fillers have states for their first, inner, last and only token, so that the
+transitions carry their grammar. Probabilities are counted on sentences with known states that a small grammar writes. Viterbi
+decoding gives the states; what is speech makes parts of one speaker, and consecutive parts of one speaker a turn.
 """
 
 from __future__ import annotations
 
 import math
+import random
 import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-STATES = ("speaker", "time", "annotation", "filler", "speech")
-#: Segments on which the model is re-estimated, and the rounds.
-TRAINING, ROUNDS = 3000, 3
+from corvane.plans.lineage import cut
+
+#: States of the first, inner, last and only token of each kind, and speech.
+KINDS, SPEECH = ("speaker", "time", "annotation", "filler"), 16
+STATES = SPEECH + 1
+#: Sentences the grammar writes to count on.
+WRITTEN = 6000
 #: Rows of one recording are numbered in spans of so many seconds, so that a long recording is many small groups.
 SPAN_S = 900.0
-
-VOICE = r"(?:speaker|spkr|spk|sprecher|sprecherin|locuteur|intervenant|hablante|locutor|orador|falante|화자|발화자|話者|说话人)"
-NUMBER = r"[\s_#-]*[0-9oO]{1,3}(?![0-9A-Za-z_])"
-LABEL = VOICE + NUMBER
-SHAPES = re.compile(
-    "|".join(
-        f"(?P<{name}>{pattern})"
-        for name, pattern in [
-            ("clock_in", r"[\[(<]\s*\d{1,2}(?::\d{2}){1,2}(?:[.,]\d+)?\s*[\])>](?:\s+-(?=\s))?"),
-            ("clock_srt", r"\d{1,2}:\d{2}:\d{2}[.,]\d{1,3}(?:\s*-->(?:\s*\d{1,2}:\d{2}:\d{2}[.,]\d{1,3})?)?"),
-            ("clock_out", r"(?<![\d:.,])\d{1,2}:\d{2}(?::\d{2})?(?![\d:])"),
-            ("label_in", rf"(?:--\s+)?\[\s*{LABEL}\s*\]:?|(?:--\s+)?\*+\s*{LABEL}\s*:?\s*\*+:?"),
-            ("label_out", rf"(?:--\s+)?(?<!\w){LABEL}\s*(?:[:：>]|-(?=\s))"),
-            ("label_bare", rf"(?<!\w){LABEL}"),
-            ("note", r"\[[^\[\]]{1,60}\]|\{[^{}]{1,60}\}|<\|[^|<>]{1,40}\|>|\*[^*\n]{1,40}\*|[♪♫♬]+"),
-            ("note_round", r"\([^\W\d_][^()\d]{0,30}\)|（[^\W\d_][^（）\d]{0,20}）"),
-            ("filler", r"(?<!\w)(?:u+h+m*|h+m+|erm+|ä+h+m*|eu+h+|e+h+m?|어어+|음+|mm+|呃+|嗯+|えー+と?|ええと|あのー+)(?!\w)(?:\.\.\.|…+|[,，、])?"),
-            ("filler_or_word", r"(?<!\w)(?:u+m+|er+|ah|어|그)(?!\w)(?:\.\.\.|…+|[,，、])?"),
-            ("dash", r"-->|--+|(?<=\s)[-–—](?=\s)"),
-            ("aside", r"\([^()]*\)|（[^（）]*）"),
-            ("word", r"\w+(?:['’\-]\w+)*"),
-            ("mark", r"[^\w\s]"),
-        ]
-    ),
-    re.IGNORECASE,
-)
-SYMBOLS = tuple(SHAPES.groupindex)
-#: Prior counts of each shape in each state (speaker, time, annotation, filler, speech).
-PRIOR = {
-    "clock_in": (0, 200, 0, 0, 1), "clock_srt": (0, 200, 0, 0, 1), "clock_out": (0, 120, 0, 0, 20),
-    "label_in": (200, 0, 1, 0, 1), "label_out": (200, 0, 0, 0, 1), "label_bare": (20, 0, 0, 0, 40),
-    "note": (1, 0, 200, 0, 1), "note_round": (0, 0, 150, 0, 10), "filler": (0, 0, 0, 300, 2), "filler_or_word": (0, 0, 0, 150, 10),
-    "dash": (15, 15, 1, 1, 20), "aside": (0, 0, 1, 0, 100), "word": (1, 1, 1, 1, 3000), "mark": (1, 1, 3, 20, 500),
-}
-MOVES = {  # from each state to the five
-    "start": (20, 60, 20, 20, 200), "speaker": (1, 5, 10, 20, 200), "time": (30, 5, 20, 30, 200),
-    "annotation": (10, 5, 20, 30, 300), "filler": (5, 1, 20, 60, 300), "speech": (20, 1, 60, 120, 4000),
-}
-LEAST = 0.02
-
-
-def logs(counts: list[float]) -> list[float]:
-    total = sum(counts) + LEAST * len(counts)
-    return [math.log((c + LEAST) / total) for c in counts]
+#: The form of a long run of words.
+LONG = "4 words"
+#: Decoded sequences that a worker remembers.
+REMEMBERED = 200_000
+
+#: Words that head a speaker label, fillers that are also words, and fillers.
+VOICES = "speaker spkr spk s sprecher sprecherin locuteur intervenant hablante locutor orador falante 화자 발화자 話者 说话人".split()
+DOUBTFUL = "um er ah 어 그".split()
+FILLERS = "uh uhh uhm umm hm hmm hmmm mm erm äh ähm öhm eh ehm euh 음 어어 呃 嗯 えー えーと ええと あの あのー".split()
+NAMED = re.compile("|".join(sorted((v for v in VOICES if len(v) > 1), key=len, reverse=True)) + r"|^\W*s\W*[\doO]", re.IGNORECASE)
+NUMBER = re.compile(r"([0-9oO]{1,3})\W*$")
+KNOWN = {*VOICES, *DOUBTFUL, *FILLERS}
+#: A word, or another token. Words that are not known make runs.
+TOKEN = re.compile(r"((?<=[_#-])[oO]{1,3}(?![^\W\d_]))|(?<=\s)(OO)(?!\w)|([^\W\d_]+)|\d+|[\[\](){}<>（）|*♪♫♬#_:：]|-+>|(?<!\S)[-–—]+(?=\s)|(?<=[^\W\d_])-(?=[\doO])|(?<=\d)[.,](?=\d)")
+WORD = 3
+LETTER = re.compile(r"[^\W\d_]")
+ELLIPSIS = re.compile(r"\s*(?:\.\.+|…+)")
+COMMA = re.compile(r"[,，、]")
+SPACE = re.compile(r"\s+")
+LABEL_MARKS = re.compile(r"[\[\]*:>：-]")
+AFTER_FILLER = re.compile(r"\s*(?:\.\.+|…+|[,，、])")
+LEAST = 0.05
+
+
+def observe(text: str) -> tuple[list[tuple[int, int]], tuple]:
+    """The places of the tokens, and for each its form (with a blank before it unless it is glued to the text before), its
+    case, and what follows."""
+    spans, seen, at, words = [], [], 0, 0
+
+    def run(a: int) -> None:
+        space = "" if at > 0 and not text[at].isspace() else " "
+        spans.append((at, a))
+        seen.append((f"{space}{min(words, 4)} words", "", ""))
+
+    for m in TOKEN.finditer(text):
+        token = m.group()
+        if m.lastindex == WORD and token.lower() not in KNOWN:
+            words += 1 + len(token) // 12  # scripts without spaces: a long piece is many words
+            continue
+        a, b = m.span()
+        if words:
+            run(a)
+            words = 0
+        space = "" if a > 0 and not text[a - 1].isspace() else " "
+        if token[0].isdigit():
+            seen.append((f"{space}{min(b - a, 4)} digits", "", ""))
+        elif m.lastindex:
+            following = "dots" if ELLIPSIS.match(text, b) else "comma" if COMMA.match(text, b) else "space" if text[b : b + 1].isspace() else "end" if b == len(text) else "glued"
+            seen.append((space + token.lower(), "upper" if token.isupper() else "title" if token[0].isupper() else "lower", following))
+        else:
+            seen.append((space + token, "", ""))
+        spans.append((a, b))
+        at = b
+    if words:
+        run(len(text))
+    return spans, tuple(seen)
+
+
+def tagged(rng: random.Random) -> list[tuple[str, int]]:
+    """A segment of the grammar as pieces of text with their kind (its place in KINDS, 4 for speech)."""
+    pick = rng.choice
+    words = lambda a, b: " ".join(pick(("model", "Reihe", "texte", "datos", "표본을", "記録", "the", "de", "et")) for _ in range(rng.randint(a, b)))
+
+    def label(inside: bool) -> str:
+        name = pick(VOICES)
+        name = pick((name.upper(), name.title(), name.lower()))
+        number = pick(("{}", "0{}", "00{}")).format(rng.randint(0, 9)) if rng.random() < 0.85 else pick(("OO", "O1", "0O"))
+        text = name + pick((" ", "_", "-", "#", "")) + number if len(name) > 1 else name + number
+        forms = ["[{}]", "{}:", "**{}:**", "[{}]:", "{}>", "{}：", "**{}**:", "{} -"]
+        return ("-- " if inside and rng.random() < 0.8 else "") + pick(forms).format(text)
+
+    def clock() -> str:
+        h, m, s = rng.randint(0, 2), rng.randint(0, 59), rng.randint(0, 59)
+        short, long = f"{pick((m, f'{m:02d}'))}:{s:02d}", f"{pick((h, f'{h:02d}'))}:{m:02d}:{s:02d}"
+        text = pick((f"[{long}]", f"({short})", short, f"{long},{rng.randint(0, 999):03d} -->", f"<{long}>", f"[{long}]", f"{long}.{rng.randint(0, 999):03d}", f"[{short}]", long))
+        return text + (" -" if rng.random() < 0.2 and text[-1] != ">" else "")
+
+    def note() -> str:
+        return pick(("[{}]", "({})", "{{{}}}", "*{}*", "<|{}|>", "({})", "[{}]")).format(pick(("laughter", "music", "웃음", "background noise", "sighs", "nospeech", "拍手"))) if rng.random() < 0.9 else pick(("♪", "♪♪", "♫"))
+
+    def filler() -> str:
+        word = pick(FILLERS) if rng.random() < 0.6 else pick(DOUBTFUL)
+        return word + pick((",", ",", "...", "", "…", ",", ""))
+
+    def sounds(n: int) -> list[tuple[str, int]]:
+        return [(filler(), 3) if rng.random() < 0.7 else (note(), 2) for _ in range(n)]
+
+    def speech() -> list[tuple[str, int]]:
+        out = []
+        for _ in range(rng.randint(1, 4)):
+            out.append((words(2, 9), 4))
+            r = rng.random()
+            if r < 0.16:
+                out.append((f"{rng.randint(1, 400)} of {rng.randint(100, 900)}", 4))
+            elif r < 0.26:
+                out.append((pick(("(Seite {})", "({})", "({}쪽)", "（第{}页）", "(p. {})")).format(rng.randint(1, 900)), 4))
+            elif r < 0.30:
+                out.append((pick(("the speaker", "the speaker,", "speaker {}", "Speaker {} said", "un locuteur", "der Sprecher,", "o orador", "the speaker:")).format(rng.randint(1, 4)), 4))
+            elif r < 0.33:
+                out.append((f"at {rng.randint(1, 12)}:{rng.randint(10, 59)} we", 4))
+            elif r < 0.36:
+                out.append((pick(("um die Zahl", "de um modelo", "er hat", "그 표를", "well: it")), 4))
+            elif r < 0.40:
+                out.append((f"({words(3, 6)})", 4))
+            elif r < 0.43:
+                out.append((pick(("- and so", "3.5 points", "low-resource", "1,200 rows")), 4))
+            elif r < 0.87:
+                out += sounds(1 if rng.random() < 0.8 else 2)
+        return out
+
+    out = []
+    r = rng.random()
+    if r < 0.3:
+        out.append((clock(), 1))
+    if rng.random() < 0.2:
+        out.append((label(False), 0))
+    if rng.random() < 0.25:
+        out += sounds(rng.randint(1, 3))
+    if rng.random() < 0.85 or not out:
+        out += speech()
+        if rng.random() < 0.12:
+            out += [(label(True), 0), *speech()]
+    return out
 
 
 class TurnModel:
-    """Log-probabilities from counts; ``fit`` adds the counts of decoded segments to the priors."""
-
-    def __init__(self, emitted: dict | None = None, moved: dict | None = None):
-        emitted, moved = emitted or {}, moved or {}
-        columns = [logs([PRIOR[s][j] + emitted.get((j, s), 0) for s in SYMBOLS]) for j in range(5)]
-        self.emit = {s: [columns[j][i] for j in range(5)] for i, s in enumerate(SYMBOLS)}
-        self.start = logs([MOVES["start"][k] + moved.get((-1, k), 0) for k in range(5)])
-        self.move = [logs([MOVES[STATES[j]][k] + moved.get((j, k), 0) for k in range(5)]) for j in range(5)]
-
-    def decode(self, symbols: list[str]) -> list[int]:
-        """The most probable states. Runs of words stay in one state, so they are one step."""
-        runs: list[tuple[str, int]] = []
-        for s in symbols:
-            if runs and s == runs[-1][0] == "word":
-                runs[-1] = (s, runs[-1][1] + 1)
-            else:
-                runs.append((s, 1))
-        if not runs:
-            return []
-        move, back, score = self.move, [], None
-        for s, n in runs:
-            e = self.emit[s]
+    """Log-probabilities of the forms in each state and of the moves between states, counted on written segments.
+    Without ``moves`` each token takes its most probable state by itself."""
+
+    def __init__(self, moves: bool = True, written: int = WRITTEN):
+        emitted = [[{} for _ in range(3)] for _ in range(STATES)]
+        moved = [[0.0] * STATES for _ in range(STATES + 1)]
+        rng = random.Random(11)
+        for _ in range(written):
+            states, seen = known_states(tagged(rng))
+            before = STATES
+            for k, token in zip(states, seen):
+                for f, value in enumerate(token):
+                    emitted[k][f][value] = emitted[k][f].get(value, 0) + 1
+                moved[before][k] += 1
+                before = k
+        sizes = [len({v for e in emitted for v in e[f]}) + 1 for f in range(3)]
+        self.emit = [[({v: math.log((n + LEAST) / (sum(c.values()) + LEAST * size)) for v, n in c.items()}, math.log(LEAST / (sum(c.values()) + LEAST * size))) for c, size in zip(e, sizes)] for e in emitted]
+        share = [sum(row[k] for row in moved) for k in range(STATES)]
+        total = sum(share)
+        self.prior = [math.log(x / total) if x else -1e9 for x in share]
+        # A token within a label, a clock or a note is followed by one of the same; the rest may follow each other.
+        seldom = 1e-4 * total  # states the grammar hardly writes, such as a label of one token, are none
+        may = lambda j, k: share[k] > seldom and ((k // 4 == j // 4 and k % 4 in (1, 2)) if j < SPEECH and j % 4 < 2 else k == SPEECH or k % 4 in (0, 3))
+        rows = [[moved[j][k] + LEAST if may(SPEECH if j == STATES else j, k) else 0.0 for k in range(STATES)] for j in range(STATES + 1)]
+        logs = [[math.log(x / sum(row)) if x else None for x in row] if any(row) else [None] * STATES for row in rows]
+        self.start = [-1e9 if x is None else x for x in logs[STATES]]
+        self.came = [[(j, logs[j][k]) for j in range(STATES) if logs[j][k] is not None] for k in range(STATES)]
+        self.open = [k for k in range(SPEECH) if k % 4 < 2]
+        self.moves, self.memo, self.forms = moves, {}, {}
+
+    def emission(self, token: tuple) -> list[float]:
+        e = self.forms.get(token)
+        if e is None:
+            e = [sum(table.get(value, rest) for value, (table, rest) in zip(token, tables)) for tables in self.emit]
+            if token[0].endswith(LONG):  # the grammar has longer runs of words in speech alone
+                e = [e[k] if k == SPEECH else -1e9 for k in range(STATES)]
+            self.forms[token] = e
+        return e
+
+    def decode(self, seen: tuple) -> list[int]:
+        """The most probable states of the tokens. Every path goes through speech at a long run of words, so what lies
+        between two of them is decoded by itself, and remembered."""
+        if not self.moves:
+            return [max(range(STATES), key=lambda k, e=self.emission(t): e[k] + self.prior[k]) for t in seen]
+        path, a = [], 0
+        for b, token in enumerate(seen):
+            if b + 1 == len(seen) or token[0].endswith(LONG):
+                piece = seen[a : b + 1]
+                part = self.memo.get(piece)
+                if part is None:
+                    part = self.viterbi(piece)
+                    if len(self.memo) < REMEMBERED:
+                        self.memo[piece] = part
+                path += part[1:] if path else part
+                a = b
+        return path
+
+    def viterbi(self, seen: tuple) -> list[int]:
+        score, back = None, []
+        for token in seen:
+            e = self.emission(token)
             if score is None:
-                score = [self.start[k] + n * e[k] + (n - 1) * move[k][k] for k in range(5)]
+                score = [a + b for a, b in zip(self.start, e)]
                 continue
-            new, came = [0.0] * 5, [0] * 5
-            for k in range(5):
-                best, at = score[0] + move[0][k], 0
-                for j in (1, 2, 3, 4):
-                    x = score[j] + move[j][k]
+            new, came = [], []
+            for k, before in enumerate(self.came):
+                best, at = -1e30, 0
+                for j, move in before:
+                    x = score[j] + move
                     if x > best:
                         best, at = x, j
-                new[k], came[k] = best + n * e[k] + (n - 1) * move[k][k], at
-            back.append(came)
+                new.append(best + e[k])
+                came.append(at)
             score = new
-        state = max(range(5), key=score.__getitem__)
-        path = [state]
+            back.append(came)
+        if score is None:
+            return []
+        for k in self.open:  # nothing ends within a label, a clock or a note
+            score[k] -= 1e6
+        path = [score.index(max(score))]
         for came in reversed(back):
-            state = came[state]
-            path.append(state)
-        return [state for state, (_, n) in zip(reversed(path), runs) for _ in range(n)]
-
-    @classmethod
-    def fit(cls, texts: list[str]) -> TurnModel:
-        model = cls()
-        for _ in range(ROUNDS):
-            emitted, moved, scale = {}, {}, 500 / max(1, len(texts))
-            for text in texts:
-                symbols = [m.lastgroup for m in SHAPES.finditer(text)]
-                last = -1
-                for s, k in zip(symbols, model.decode(symbols)):
-                    emitted[k, s] = emitted.get((k, s), 0) + scale
-                    moved[last, k] = moved.get((last, k), 0) + scale
-                    last = k
-            model = cls(emitted, moved)
-        return model
+            path.append(came[path[-1]])
+        return path[::-1]
+
+
+def known_states(pieces: list[tuple[str, int]]) -> tuple[list[int], tuple]:
+    """States and observations of the tokens of a written segment."""
+    text, ends = "", []
+    for piece, kind in pieces:
+        text += (" " if text else "") + piece
+        ends.append((len(text), kind))
+    spans, seen = observe(text)
+    places = []
+    for a, b in spans:  # a run may begin with the blank or the comma of the piece before
+        m = LETTER.search(text, a, b)
+        places.append(next(i for i, (end, _) in enumerate(ends) if (m.start() if m else a) < end))
+    states = []
+    for i, place in enumerate(places):
+        first, last = i == 0 or places[i - 1] != place, i == len(places) - 1 or places[i + 1] != place
+        kind = ends[place][1]
+        states.append(SPEECH if kind == 4 else kind * 4 + (3 if first and last else 0 if first else 2 if last else 1))
+    return states, seen
 
 
 def voice(label: str | None) -> str | None:
     """``SPEAKER_nn`` of a label in any spelling; None if it names no speaker."""
-    if not label:
+    number = NUMBER.search(label.strip()) if label else None
+    if not number or not NAMED.search(label):
         return None
-    m = re.search(r"(?:^|[^0-9A-Za-z])s?\s*[_#-]?\s*([0-9oO]{1,3})\D*$|([0-9oO]{1,3})\W*$", label.strip(), re.IGNORECASE)
-    if not m or not re.search(rf"{VOICE}|^\W*s\W*\d", label, re.IGNORECASE):
-        return None
-    digits = re.search(r"([0-9oO]{1,3})\W*$", label.strip()).group(1)
-    return f"SPEAKER_{int(digits.lower().replace('o', '0')):02d}"
+    return f"SPEAKER_{int(number.group(1).lower().replace('o', '0')):02d}"
 
 
 def clock_seconds(token: str) -> float:
@@ -148,32 +277,42 @@ def clock_seconds(token: str) -> float:
 
 def parts_of(text: str, model: TurnModel) -> tuple[float | None, list[tuple[str | None, str]]]:
     """The time written in the text, and its speech by speaker label; None stands for the segment's own label."""
-    tokens = list(SHAPES.finditer(text))
-    states = model.decode([m.lastgroup for m in tokens])
-    time, speaker, parts = None, None, []
-    words: list[tuple[int, int]] = []
-    has_word = False
+    spans, seen = observe(text)
+    states = model.decode(seen)
+    time, speaker, parts, words = None, None, [], []
+    i, n = 0, len(spans)
 
     def close():
-        if has_word:
-            pieces, at = [], None
-            for a, b in words:
-                if at is not None and re.search(r"\s", text[at:a]):
-                    pieces.append(" ")
-                pieces.append(text[a:b])
-                at = b
-            parts.append((speaker, re.sub(r"\s+", " ", "".join(pieces)).strip()))
-
-    for m, state in zip(tokens, states):
-        shape = m.lastgroup
-        if state == 0 and shape.startswith("label"):
-            close()
-            words, has_word, speaker = [], False, voice(re.sub(r"[\[\]*:>：-]", " ", m.group()).strip())
-        elif state == 1 and shape.startswith("clock") and time is None:
-            time = clock_seconds(m.group())
-        elif state == 4:
-            words.append(m.span())
-            has_word = has_word or shape in ("word", "aside", "label_bare", "filler_or_word", "clock_out", "filler")
+        said = SPACE.sub(" ", "".join(words)).strip()
+        if LETTER.search(said) or any(c.isdigit() for c in said):
+            parts.append((speaker, said))
+
+    while i < n:
+        a, b = spans[i]
+        state = states[i]
+        i += 1
+        if state == SPEECH:
+            # With what follows up to the next token: marks without letters are no token.
+            words.append(text[a : spans[i][0]] if i < n else text[a:])
+            continue
+        while state % 4 < 2 and i < n and states[i] < SPEECH and states[i] // 4 == state // 4 and states[i] % 4 in (1, 2):
+            state, b = states[i], spans[i][1]
+            i += 1
+        kind = KINDS[state // 4]
+        if kind == "speaker":
+            found = voice(LABEL_MARKS.sub(" ", text[a:b]).strip())
+            if found is None:  # no number
+                words.append(text[a:b] + " ")
+            else:
+                close()
+                words, speaker = [], found
+        elif kind == "time" and time is None and ":" in text[a:b]:
+            time = clock_seconds(text[a:b])
+        elif kind == "filler":  # with its comma or dots
+            m = AFTER_FILLER.match(text, b)
+            if m and i < n and m.end() > spans[i][0]:
+                spans[i] = (m.end(), max(m.end(), spans[i][1]))
+        words.append(" ")
     close()
     return time, parts
 
@@ -181,11 +320,7 @@ def parts_of(text: str, model: TurnModel) -> tuple[float | None, list[tuple[str
 def parts(segments: DataFrame, model: TurnModel | None = None) -> DataFrame:
     """One row for each stretch of speech of one speaker within a segment. Segments delivered repeatedly, also under
     another spelling of the speaker, count once; a known speaker wins. Segments without words give none."""
-    if model is None:
-        rows = segments.where(F.col("text").isNotNull()).count()
-        share = min(1.0, TRAINING / max(rows, 1))
-        sample = segments.where(F.pmod(F.xxhash64("recording_id", "start", "text"), F.lit(1 << 30)) < int(share * (1 << 30))).where(F.col("text").isNotNull()).select("text").toArrow().column(0).to_pylist()
-        model = TurnModel.fit(sorted(sample))
+    model = model or TurnModel()
     once = (
         segments.where(F.col("recording_id").isNotNull() & F.col("text").isNotNull())
         .withColumn("known", F.col("speaker").rlike(r"\d|[oO]{2}"))
@@ -207,7 +342,7 @@ def parts(segments: DataFrame, model: TurnModel | None = None) -> DataFrame:
             kinds = [pa.string(), pa.float64(), pa.float64(), pa.int32(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["recording_id", "start", "end_time", "part", "speaker", "words"])
 
-    return once.select("recording_id", "start", "text", "end_time", "speaker").mapInArrow(run, "recording_id string, start double, end_time double, part int, speaker string, words string")
+    return cut(once.select("recording_id", "start", "text", "end_time", "speaker").mapInArrow(run, "recording_id string, start double, end_time double, part int, speaker string, words string"))
 
 
 def numbered(spoken: DataFrame) -> DataFrame:

@@ -81,6 +81,38 @@ def test_turns_equal_a_loop(spark):
     assert [(t[2], t[3]) for t in turns(spark, rows)] == want
 
 
+@pytest.mark.parametrize(
+    "text,time,parts",
+    [
+        ("at 12:30 we met", None, [(None, "at 12:30 we met")]),
+        ("12:30 we met there", 750.0, [(None, "we met there")]),
+        ("the speaker 2 said it", None, [(None, "the speaker 2 said it")]),
+        ("speaker 2: said it", None, [("SPEAKER_02", "said it")]),
+        ("we saw it (the older of the two) there", None, [(None, "we saw it (the older of the two) there")]),
+        ("we saw (applause) it there (Seite 12)", None, [(None, "we saw it there (Seite 12)")]),
+        ("00:02:31,790 --> um... [music]", 151.79, []),
+        ("so it was -- [SPEAKER_03] yes um, it was", None, [(None, "so it was"), ("SPEAKER_03", "yes it was")]),
+        ("", None, []), ("?!", None, []), ("a" * 30_000, None, [(None, "a" * 30_000)]),
+    ],
+)
+def test_neighbours_decide_what_a_token_is(text, time, parts):
+    assert speaker_turns.parts_of(text, speaker_turns.TurnModel()) == (time, parts)
+
+
+def test_transitions_decide():
+    """On segments the model was not counted on, it loses much if each token takes its most probable state alone."""
+    import random
+
+    rng = random.Random(99)
+    held_out = [speaker_turns.known_states(speaker_turns.tagged(rng)) for _ in range(400)]
+    right = {}
+    for moves in (True, False):
+        model = speaker_turns.TurnModel(moves=moves, written=3000)
+        told = [(a, b) for states, seen in held_out for a, b in zip(states, model.decode(seen))]
+        right[moves] = sum(a == b for a, b in told) / len(told)
+    assert right[True] >= 0.97 and right[False] <= right[True] - 0.02
+
+
 def test_turns_of_nothing(spark):
     assert turns(spark, []) == []
     assert speaker_turns.turn_starts(spark.createDataFrame([], TRANSCRIPT)).count() == 0
