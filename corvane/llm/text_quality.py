@@ -15,9 +15,13 @@ from collections import Counter
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from corvane.plans.lineage import cut
+
 KINDS = ("prose", "list", "table", "junk")
 #: Labelled documents the model is fitted on at most, and rounds; words of the corpus that are known and common.
 LABELLED, ROUNDS, KNOWN, COMMON = 2000, 4, 30_000, 40
+#: The model is fitted on so many characters of each labelled document.
+FITTED_CHARS = 20_000
 #: Every labelled document counts as so many lines, however long it is.
 PER_DOCUMENT, STAY, TRUST = 6.0, 8.0, 4.0
 
@@ -154,34 +158,37 @@ class LineModel:
 
 
 def corpus_words(documents: DataFrame, text_col: str, lang_col: str | None) -> tuple[set[str], set[str]]:
-    """Known words (the KNOWN most frequent that occur five times) and common words (the COMMON found in most
+    """Known words (the KNOWN found in most documents, in five at least) and common words (the COMMON found in most
     documents of each language label). Counted over all documents; only these come to the driver."""
 
     def run(batches):
         for batch in batches:
-            counts: dict[str, Counter[str]] = {"": Counter()}
+            every: Counter[str] = Counter()
+            counts: dict[str, Counter[str]] = {}
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words = WORDS.findall(text.lower())
-                counts[""].update(words)
+                words = set(WORDS.findall(text.lower()))
+                every.update(words)
                 if lang:
-                    counts.setdefault(lang, Counter()).update(set(words))
-            rows = [(lang, word, n) for lang, c in counts.items() for word, n in c.items() if len(word) <= (12 if lang else 40)]
+                    counts.setdefault(lang, Counter()).update(words)
+            rows = [("", word, n) for word, n in every.items() if len(word) <= 40] + [(lang, word, n) for lang, c in counts.items() for word, n in c.items() if len(word) <= 12]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64())], names=["lang", "word", "n"])
 
     lang = F.lower(F.trim(F.col(lang_col))) if lang_col else F.lit(None).cast("string")
     counts = documents.where(F.length(text_col) > 0).select(F.col(text_col).alias("t"), F.when(F.length(lang) <= 3, lang).alias("l")).mapInArrow(run, "lang string, word string, n bigint")
-    counts = counts.groupBy("lang", "word").agg(F.sum("n").alias("n")).where("n >= 5")
+    counts = cut(counts.groupBy("lang", "word").agg(F.sum("n").alias("n")).where("n >= 5"))
+    known = counts.where("lang = ''").orderBy(F.desc("n"), "word").limit(KNOWN).select("word").collect()  # a top-k in each task, then of these
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
-    rows = counts.withColumn("r", place).where((F.col("r") <= COMMON) | ((F.col("lang") == "") & (F.col("r") <= KNOWN))).select("lang", "word").collect()
-    return {r["word"] for r in rows if r["lang"] == "" and (len(r["word"]) > 2 or not r["word"].isascii())}, {r["word"] for r in rows if r["lang"] != ""}
+    common = counts.where("lang <> ''").withColumn("r", place).where(F.col("r") <= COMMON).select("word").collect()
+    return {r["word"] for r in known if len(r["word"]) > 2 or not r["word"].isascii()}, {r["word"] for r in common}
 
 
 def fit(documents: DataFrame, labels: DataFrame, known: set[str], common: set[str], id_col: str = "doc_id", text_col: str = "text") -> LineModel:
-    """Fit on at most about LABELLED labelled documents, chosen by hash of the id."""
+    """Fit on at most about LABELLED labelled documents, chosen by hash of the id, and on FITTED_CHARS characters of each,
+    so on a bounded part of the labels. What is told with the model are whole texts."""
     votes = labels.where(F.col("kind").isin(*KINDS)).groupBy(F.col(id_col).alias("id"), "kind").agg(F.count(F.lit(1)).alias("n")).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("kind", "n"))).alias("votes"))
     share = min(1.0, LABELLED / max(1, votes.count()))
     sample = votes.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    rows = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.length(F.trim("text")) > 0).join(F.broadcast(sample) if share < 1 else sample, "id").collect()
+    rows = documents.select(F.col(id_col).alias("id"), F.substring(F.col(text_col), 1, FITTED_CHARS).alias("text")).where(F.length(F.trim("text")) > 0).join(sample, "id").collect()
     fitted = []
     for r in sorted(rows, key=lambda r: str(r["id"])):
         lines = lines_of(r["text"], known, common)[0]

@@ -143,6 +143,42 @@ def test_faults(pages):
     assert not any(x[0] in (21, 22) for x in got)
 
 
+def test_vectors_tell_misread_words_from_rare_ones(spark):
+    """"modem" is a rare word in one context and "modern" misread in another; glyphs and counts are alike for both."""
+    import random
+
+    import numpy as np
+
+    rng = random.Random(3)
+    houses = "house street garden window tower bridge square church market harbour".split()
+    wires = "cable signal router plug socket packet antenna port switch cabinet".split()
+    line = lambda words, n: " ".join(rng.choice(words) for _ in range(n))
+    rows, true, false = [], set(), set()
+    for i in range(300):
+        texts = [f"{line(houses, 3)} modern {line(houses, 3)}.", f"{line(wires, 7)}.", f"{line(houses, 7)}."]
+        if i % 50 == 0:
+            texts.append(f"{line(houses, 3)} modem {line(houses, 3)}.")
+            true.add((i, 4))
+        if i % 50 == 1:
+            texts.append(f"{line(wires, 3)} modem {line(wires, 3)}.")
+            false.add((i, 4))
+        rows.append((i, f"d{i}", 1, "\n".join(texts), None, 0, None))
+    pages = scan_repair.distinct_pages(spark.createDataFrame(rows, PAGES))
+
+    def found():
+        got = {(r["page_id"], r["line_no"]) for r in scan_repair.faults(pages).where("kind = 'bad_char'").collect()}
+        return len(got & true) / len(true), len(got & false) / len(false)
+
+    with_vectors = found()
+    kept, scan_repair.climb = scan_repair.climb, lambda seen: (np.zeros((len(seen), 2)), np.zeros((len(seen), 2)))
+    try:
+        without = found()
+    finally:
+        scan_repair.climb = kept
+    assert with_vectors[0] >= 0.8 and with_vectors[1] <= 0.2
+    assert without == (1.0, 1.0)
+
+
 def test_continuous_text(pages):
     got = {r["page_id"]: r["text"] for r in scan_repair.continuous_text(pages).collect()}
     assert got[20].startswith("The quick report describes the network of the company. The network measures the report.")
