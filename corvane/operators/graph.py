@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corvane.plans.lineage import cut
 
 
+#: Most terms of one search for seeds.
+TERMS = 200
+
+
 def both_ways(edges: DataFrame) -> DataFrame:
     """``a, b, edge_id`` in both directions."""
     e = edges.select("src", "tgt", "edge_id")
@@ -22,8 +26,11 @@ def with_edge_ids(edges: DataFrame) -> DataFrame:
 def seeds_by_term(nodes: DataFrame, edges: DataFrame, terms: DataFrame, limit: int | None = None) -> DataFrame:
     """Nodes with an edge whose name contains one of the terms (``term``), in order of id.
 
-    The terms are a stated, small set; they become one pattern, so no pairs of nodes and terms are made."""
-    words = [r["term"] for r in terms.select(F.lower("term").alias("term")).distinct().orderBy("term").collect()]
+    The terms are a stated set of at most TERMS, else an error is raised; they become one pattern, so no pairs of nodes
+    and terms are made."""
+    words = [r["term"] for r in terms.select(F.lower("term").alias("term")).where("term is not null").distinct().orderBy("term").limit(TERMS + 1).collect()]
+    if len(words) > TERMS:
+        raise ValueError(f"more than {TERMS} terms")
     found = F.lit(False)
     for w in words:
         found = found | F.contains(F.lower("name"), F.lit(w))
@@ -57,6 +64,8 @@ def traverse(edges: DataFrame, seeds: DataFrame, max_hops: int) -> tuple[DataFra
         if frontier.isEmpty():
             break
         visited = cut(visited.union(frontier))
+    if followed is None:
+        return visited, edges.withColumn("hop", F.lit(None).cast("int")).limit(0)
     relations = followed.groupBy("edge_id").agg(F.min("hop").alias("hop"))
     return visited, edges.join(relations, "edge_id")
 
@@ -75,22 +84,47 @@ def traverse_each(edges: DataFrame, seeds: DataFrame, max_hops: int) -> tuple[Da
         if frontier.isEmpty():
             break
         visited = cut(visited.union(frontier))
+    if followed is None:
+        followed = visited.select("query_id", F.lit("").alias("edge_id"), "hop").limit(0)
     return visited, followed.groupBy("query_id", "edge_id").agg(F.min("hop").alias("hop"))
 
 
 def paths(edges: DataFrame, starts: DataFrame, max_hops: int, limit: int | None = None) -> DataFrame:
     """``start, nodes, edge_ids, hops``: all trails of 1 to ``max_hops`` steps in either direction that use no edge
-    twice, in order of their nodes and edges."""
+    twice, in order of start, hops, nodes and edges.
+
+    With a ``limit``, no more than the first are built: a start that has as many trails is not followed further, as
+    longer ones come after them, nor is any start after it. So the trails that are extended are fewer than ``limit`` for
+    each start, whatever the hubs; the counts of at most ``limit`` starts are read after each level.
+    """
     steps = cut(both_ways(edges))
-    current = starts.select(F.col("id").alias("start"), F.array("id").alias("nodes"), F.array().cast("array<string>").alias("edge_ids"), F.col("id").alias("a"))
-    every = None
+    schema = "start string, nodes array<string>, edge_ids array<string>, hops int"
+    current = starts.select(F.col("id").alias("start"), F.array("id").alias("nodes"), F.array().cast("array<string>").alias("edge_ids"), F.col("id").alias("a")).distinct()
+    every, counts = None, {}
+    order = ["start", "hops", F.array_join("nodes", ">"), F.array_join("edge_ids", ">")]
     for hop in range(1, max_hops + 1):
         longer = current.join(steps, "a").where(~F.array_contains("edge_ids", F.col("edge_id")))
-        current = cut(longer.select("start", F.concat("nodes", F.array("b")).alias("nodes"), F.concat("edge_ids", F.array("edge_id")).alias("edge_ids"), F.col("b").alias("a")))
+        current = longer.select("start", F.concat("nodes", F.array("b")).alias("nodes"), F.concat("edge_ids", F.array("edge_id")).alias("edge_ids"), F.col("b").alias("a"))
+        current = cut(current.distinct())
         found = current.select("start", "nodes", "edge_ids", F.lit(hop).alias("hops"))
+        if limit:
+            place = F.row_number().over(Window.partitionBy("start").orderBy(*order[1:]))
+            for r in current.groupBy("start").agg(F.count(F.lit(1)).alias("n")).orderBy("start").limit(limit).collect():
+                counts[r["start"]] = counts.get(r["start"], 0) + r["n"]
+            total, last = 0, None
+            for start in sorted(counts):
+                total += counts[start]
+                if counts[start] >= limit or total >= limit:
+                    last = start  # the trails up to this start are enough
+                    break
+            kept = F.col("start") <= last if last is not None else F.lit(True)
+            found = found.where(kept).withColumn("place", place).where(F.col("place") <= limit).drop("place")
+            full = [s for s, n in counts.items() if n >= limit]
+            current = current.where(kept & ~F.col("start").isin(full))
         every = found if every is None else every.union(found)
-    ordered = every.distinct()
-    return ordered.orderBy("start", "hops", F.array_join("nodes", ">"), F.array_join("edge_ids", ">")).limit(limit) if limit else ordered
+    if every is None:
+        return edges.sparkSession.createDataFrame([], schema)
+    return every.orderBy(*order).limit(limit) if limit else every
 
 
 def path_nodes(found: DataFrame, nodes: DataFrame) -> DataFrame:

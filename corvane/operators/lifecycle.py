@@ -1,8 +1,11 @@
-"""Upserts, deletes and lookups of stored tables. Plain Parquet has no MERGE: a merge reads, unites, keeps the last
-row of each key and writes to another path."""
+"""Upserts, deletes and lookups of stored tables. Plain Parquet has no MERGE: a table that is merged into lies in
+buckets by key, a merge rewrites the buckets it touches beside the old ones, and a manifest says which hold."""
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from corvane.functions.ids import document_id, uuid5
@@ -13,11 +16,24 @@ def last_of_key(rows: DataFrame, keys: list[str], order: Column) -> DataFrame:
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("r")).select(*keys, "r.*")
 
 
-def upsert(old: DataFrame | None, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of ``new`` replace those of ``old`` with the same keys."""
+def last_rows(rows: DataFrame, keys: list[str], order: Column | None = None) -> DataFrame:
+    """One row for each key, null keys being equal: the last by ``order``, ties and no order by the other columns."""
+    if not [c for c in rows.columns if c not in keys]:
+        return rows.distinct()
+    plain = [F.col(c) for c in rows.columns if c not in keys and "map<" not in rows.schema[c].dataType.simpleString()]
+    return last_of_key(rows, keys, F.struct(*([order.alias("order")] if order is not None else []), *plain, F.lit(0).alias("least"))).select(*rows.columns)
+
+
+def upsert(old: DataFrame | None, new: DataFrame, keys: list[str], order: Column | None = None) -> DataFrame:
+    """The last rows of ``new`` replace those of ``old`` with the same keys; null keys are equal."""
+    last = last_rows(new, keys, order)
     if old is None:
-        return new
-    return old.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new, allowMissingColumns=True)
+        return last
+    replaced = new.select(*[F.col(k).alias(f"_{i}") for i, k in enumerate(keys)]).distinct()
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & old[k].eqNullSafe(replaced[f"_{i}"])
+    return old.join(replaced, same, "left_anti").unionByName(last, allowMissingColumns=True)
 
 
 def delete_documents(rows: DataFrame, ids: DataFrame, key: str = "document_id") -> DataFrame:
@@ -54,20 +70,61 @@ def not_done(rows: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(done.select(*keys).distinct(), keys, "left_anti")
 
 
-def write_upsert(new: DataFrame, path: str, keys: list[str]) -> None:
-    """Merge into the Parquet table at ``path``: written beside it, then put in its place, so that a failed write
-    leaves the old table as it was."""
+def _files(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    return at(path).getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def _manifest(spark: SparkSession, path: str) -> tuple[int, dict]:
+    """Number and content of the manifest that holds; number 0 if there is no table."""
+    fs, at = _files(spark, path)
+    folder = at(f"{path}/manifests")
+    numbers = [int(f.getPath().getName().split(".")[0]) for f in fs.listStatus(folder) if f.getPath().getName().endswith(".json")] if fs.exists(folder) else []
+    if not numbers:
+        return 0, {}
+    stream = fs.open(at(f"{path}/manifests/{max(numbers):09d}.json"))
+    try:
+        return max(numbers), json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    finally:
+        stream.close()
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """The table that ``write_upsert`` keeps at ``path``."""
+    number, held = _manifest(spark, path)
+    if not number:
+        raise FileNotFoundError(path)
+    rows = spark.read.schema(held["schema"])
+    return rows.parquet(*[f"{path}/{f}" for f in sorted(held["buckets"].values())]) if held["buckets"] else spark.createDataFrame([], held["schema"])
+
+
+def write_upsert(new: DataFrame, path: str, keys: list[str], order: Column | None = None, buckets: int = 64) -> None:
+    """Merge into the table at ``path``. Rows lie in ``buckets`` by the hash of their keys; only buckets that ``new`` has
+    keys of are read and written, beside the old ones. A manifest written last puts them in force, so that readers see
+    the table before or after, and a failed write leaves it as it was. Buckets of the manifest before last are deleted."""
     spark = new.sparkSession
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path
-    target, beside, before = fs_path(path), fs_path(path + ".new"), fs_path(path + ".old")
-    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    old = spark.read.parquet(path) if fs.exists(target) else None
-    upsert(old, new, keys).write.mode("overwrite").parquet(path + ".new")
-    fs.delete(before, True)
-    if old is not None:
-        fs.rename(target, before)
-    fs.rename(beside, target)
-    fs.delete(before, True)
+    fs, at = _files(spark, path)
+    number, held = _manifest(spark, path)
+    buckets = held.get("count", buckets)
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+    touched = [r["b"] for r in new.select(bucket.alias("b")).distinct().collect()]
+    now = dict(held.get("buckets", {}))
+    old_paths = [f"{path}/{now[str(b)]}" for b in touched if str(b) in now]
+    old = spark.read.schema(held["schema"]).parquet(*old_paths) if old_paths else None
+    merged = upsert(old, new, keys, order)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in merged.schema)
+    folder = f"data/{uuid.uuid4().hex}"
+    merged.withColumn("_bucket", bucket).repartition("_bucket").write.partitionBy("_bucket").parquet(f"{path}/{folder}")
+    now.update({str(b): f"{folder}/_bucket={b}" for b in touched})
+    fs.mkdirs(at(f"{path}/manifests"))
+    beside = at(f"{path}/manifests/{number + 1:09d}.new")
+    stream = fs.create(beside, True)
+    stream.write(bytearray(json.dumps({"count": buckets, "schema": schema, "buckets": now, "before": held.get("buckets", {})}).encode()))
+    stream.close()
+    fs.rename(beside, at(f"{path}/manifests/{number + 1:09d}.json"))
+    for gone in set(held.get("before", {}).values()) - set(held.get("buckets", {}).values()) - set(now.values()):
+        fs.delete(at(f"{path}/{gone}"), True)
+    fs.delete(at(f"{path}/manifests/{number - 1:09d}.json"), False)
 
 
 def ensure_table(spark: SparkSession, name: str, schema: str, recreate: bool = False) -> None:

@@ -6,7 +6,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from corvane.functions.text import letter_tokens
+from corvane.functions.text import letter_tokens, without_think
 
 
 def coverage_score(question: Column | str, results: Column | str) -> Column:
@@ -16,6 +16,14 @@ def coverage_score(question: Column | str, results: Column | str) -> Column:
     return F.when((F.size(q) == 0) | (F.size(r) == 0), F.lit(0.0)).otherwise(F.round(F.least(F.lit(1.0), score), 6))
 
 
+def thought_score(reply: Column | str, found: Column | str, question: Column | str, results: Column | str) -> Column:
+    """0 if no entities and events were found, else the number in the reply, else the coverage of the question."""
+    found = F.col(found) if isinstance(found, str) else found
+    number = F.nullif(F.regexp_extract(without_think(reply), r"([01]\.?\d*)", 1), F.lit("")).cast("double")
+    told = F.greatest(F.lit(0.0), F.least(F.lit(1.0), number))
+    return F.when(found == 0, F.lit(0.0)).otherwise(F.when(number.isNotNull(), told).otherwise(coverage_score(question, results)))
+
+
 def prune(rows: DataFrame, question: Column | str, text: Column | str, least: float = 0.2) -> DataFrame:
     """Rows with enough of the question's words; all rows if the question has none."""
     q = letter_tokens(question)

@@ -68,14 +68,38 @@ def path_scores(question: Column | str, hops: Column | str) -> dict[str, Column]
     }
 
 
+def best_of(question: Column | str, hops: Column | str, remaining: Column | str) -> Column:
+    """``struct(minus, i, path)`` of the remaining path with most points, the earlier in the list on ties; null if none
+    remains."""
+    scores = path_scores(question, hops)
+    table = F.map_from_arrays(F.array(*[F.lit(p) for p in PATHS]), F.array(*[scores[p] for p in PATHS]))
+    left = F.col(remaining) if isinstance(remaining, str) else remaining
+    return F.array_min(F.transform(left, lambda p, i: F.struct((-table[p]).alias("minus"), i.alias("i"), p.alias("path"))))
+
+
 def best_path(questions: DataFrame, key: str, question: str, hops: str, remaining: str) -> DataFrame:
     """``key, path, path_score``: the remaining path with most points, the earlier in the list on ties; vector if
     none remains."""
-    scores = path_scores(question, hops)
-    scored = questions.withColumn("scores", F.map_from_arrays(F.array(*[F.lit(p) for p in PATHS]), F.array(*[scores[p] for p in PATHS])))
-    ranked = F.transform(F.col(remaining), lambda p, i: F.struct((-F.col("scores")[p]).alias("minus"), i.alias("i"), p.alias("path")))
-    best = F.array_min(ranked)
-    return scored.select(key, F.coalesce(best["path"], F.lit("vector")).alias("path"), (-best["minus"]).alias("path_score"))
+    best = best_of(question, hops, remaining)
+    return questions.select(key, F.coalesce(best["path"], F.lit("vector")).alias("path"), (-best["minus"]).alias("path_score"))
+
+
+def delegate(path: Column | str, snippets: Column | str, quality: Column | str) -> Column:
+    """``graph`` if another path than vector was taken, gave snippets, and their quality is at least 0.3."""
+    path, snippets, quality = (F.col(c) if isinstance(c, str) else c for c in (path, snippets, quality))
+    return F.when((path != "vector") & (snippets > 0) & (quality >= 0.3), "graph").otherwise("vector")
+
+
+def intent_from_reply(reply: Column | str) -> Column:
+    """The first of the intents, in their fixed order, that the reply names, or null."""
+    reply = F.col(reply) if isinstance(reply, str) else reply
+    return F.coalesce(*[F.when(F.contains(reply, F.lit(i)), F.lit(i)) for i in TOOLS])
+
+
+def searchers_for(loaded: Column | str) -> Column:
+    """``array(text, image)`` of those of them that are loaded, in this order, else ``array(default)``."""
+    found = F.array_intersect(F.array(F.lit("text"), F.lit("image")), loaded)
+    return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("default")))
 
 
 def quality_from_reply(reply: Column | str) -> Column:
@@ -90,8 +114,8 @@ def quality_gate(rows: DataFrame, quality: str, backtracks: str, path: str, trie
     done = F.array_union(F.col(tried), F.array(F.col(path)))
     left = F.array_except(F.array(*[F.lit(p) for p in PATHS]), done)
     passed = (F.col(quality) >= least) | (F.col(backtracks) >= most) | (F.size(left) == 0)
-    chosen = best_path(rows.withColumn("left", left), key, question, hops, "left")
-    return rows.select(key, passed.alias("passed")).join(chosen.withColumnRenamed("path", "chosen"), key).select(key, "passed", F.when(~F.col("passed"), F.col("chosen")).alias("next_path"))
+    chosen = F.coalesce(best_of(question, hops, left)["path"], F.lit("vector"))
+    return rows.select(key, passed.alias("passed"), F.when(~passed, chosen).alias("next_path"))
 
 
 def intent(question: Column | str) -> Column:

@@ -6,7 +6,7 @@ import ast
 import operator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 OPERATORS = {ast.Add: operator.add, ast.Sub: operator.sub, ast.Mult: operator.mul, ast.Div: operator.truediv, ast.Pow: operator.pow, ast.Mod: operator.mod, ast.UAdd: operator.pos, ast.USub: operator.neg}
 CALCULATED = "struct<status:string,result:double,message:string>"
@@ -56,6 +56,18 @@ def run_select(spark: SparkSession, statement: str) -> DataFrame:
     return spark.sql(text)
 
 
+def dispatched(remote_status: Column | str) -> dict[str, Column]:
+    """Which tool ran and its status: the remote one, and only where that gave an error the local one."""
+    status = F.col(remote_status) if isinstance(remote_status, str) else remote_status
+    failed = status == "error"
+    return {"ran": F.when(failed, "local").otherwise("remote"), "status": F.when(failed, "ok").otherwise(status)}
+
+
+def summary(result: Column | str, most: int = 400) -> Column:
+    """A result cut to ``most`` characters."""
+    return F.substring(result, 1, most)
+
+
 #: Tools by name with the inputs they take.
 REGISTRY = {"calculator": ["expression"], "sql_executor": ["sql"], "api_caller": ["url", "method"], "code_runner": ["snippet"]}
 

@@ -10,12 +10,18 @@ from corvane.plans.islands import islands
 SPAN_S = 900.0
 
 
-def gap_fill(segments: DataFrame, gap: float = 0.5, key: str = "recording_id") -> DataFrame:
-    """Segments and, where one begins more than ``gap`` after the end of the one before, an UNKNOWN one between."""
+def gap_fill(segments: DataFrame, durations: DataFrame | None = None, gap: float = 0.5, key: str = "recording_id") -> DataFrame:
+    """Segments and, where one begins more than ``gap`` after the end of the one before, an UNKNOWN one between; likewise
+    after the last one of a recording whose ``duration`` is known."""
     w = Window.partitionBy(key).orderBy("start", "end_time")
     before = segments.withColumn("current", F.coalesce(F.lag("end_time").over(w), F.lit(0.0)))
-    gaps = before.where(F.col("start") > F.col("current") + gap).select(key, F.col("current").alias("start"), F.col("start").alias("end_time"), F.lit("UNKNOWN").alias("speaker"))
-    return segments.select(key, "start", "end_time", "speaker").union(gaps)
+    unknown = lambda rows, a, b: rows.select(key, F.col(a).alias("start"), F.col(b).alias("end_time"), F.lit("UNKNOWN").alias("speaker"))
+    filled = segments.select(key, "start", "end_time", "speaker").union(unknown(before.where(F.col("start") > F.col("current") + gap), "current", "start"))
+    if durations is None:
+        return filled
+    last = segments.groupBy(key).agg(F.max_by("end_time", F.struct("start", "end_time")).alias("current"))
+    ends = durations.join(last, key, "left").withColumn("current", F.coalesce("current", F.lit(0.0)))
+    return filled.union(unknown(ends.where(F.col("duration") > F.col("current") + gap), "current", "duration"))
 
 
 def split_long(segments: DataFrame, most: float = 15.0) -> DataFrame:

@@ -32,12 +32,12 @@ def folder_for(spark: SparkSession, name: str = "table") -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame) -> DataFrame:
-    """Write ``df`` as a table below the checkpoint folder and read that. Its size is then known from its files, whereas a
+def written(df: DataFrame, form: str = "parquet") -> DataFrame:
+    """Write ``df`` as a table (or JSON lines) below the checkpoint folder and read that. Its size is then known from its files, whereas a
     checkpoint keeps the estimate of its plan, which each join of a loop multiplies."""
     path = folder_for(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.format(form).save(path)
+    return df.sparkSession.read.schema(df.schema).format(form).load(path)
 
 
 def clean(spark: SparkSession) -> None:

@@ -93,7 +93,7 @@ def gate(t):
 
 @query("R28_pipeline_delegation", f"WITH {HQ} SELECT text, CASE WHEN {ROUTE} <> 'vector' AND length(text) % 5 > 0 AND (length(text) % 10) / 10.0 >= 0.3 THEN 'graph' ELSE 'vector' END AS source FROM hq")
 def delegation(t):
-    return with_hops(t).select("text", F.when((routing.route("h") != "vector") & (F.length("text") % 5 > 0) & ((F.length("text") % 10) / 10.0 >= 0.3), "graph").otherwise("vector").alias("source"))
+    return with_hops(t).select("text", routing.delegate(routing.route("h"), F.length("text") % 5, (F.length("text") % 10) / 10.0).alias("source"))
 
 
 @query("U05_remaining_paths", f"WITH {HQ} SELECT text, array_to_string(list_filter(['vector', 'cross_ref', 'graph_db'], lambda p: p <> {ROUTE}), ',') AS remaining FROM hq")
@@ -137,8 +137,7 @@ def tool(t):
 @query("X02_intent_from_reply", f"WITH {Q}, r AS (SELECT text, CASE length(text) % 3 WHEN 0 THEN 'it is a database or calculation' WHEN 1 THEN 'api_call' ELSE 'hm' END AS reply FROM q) SELECT text, CASE WHEN contains(reply, 'calculation') THEN 'calculation' WHEN contains(reply, 'database') THEN 'database' WHEN contains(reply, 'api_call') THEN 'api_call' END AS intent FROM r")
 def intent_reply(t):
     reply = F.when(F.length("text") % 3 == 0, "it is a database or calculation").when(F.length("text") % 3 == 1, "api_call").otherwise("hm")
-    found = F.coalesce(*[F.when(F.contains(F.col("reply"), F.lit(i)), F.lit(i)) for i in routing.TOOLS])
-    return asked(t).withColumn("reply", reply).select("text", found.alias("intent"))
+    return asked(t).withColumn("reply", reply).select("text", routing.intent_from_reply("reply").alias("intent"))
 
 
 @query("X04_extract_math_expression", f"WITH {Q} SELECT text, trim(regexp_replace(regexp_replace(text, '[^0-9+\\-*/().%^]', ' ', 'g'), '\\s+', ' ', 'g')) AS expression FROM q")
@@ -169,18 +168,18 @@ def url(t):
 def dispatch(t):
     """Only an error of the remote tool falls back to the local one."""
     remote = F.when(F.col("event_id") % 3 == 0, "error").when(F.col("event_id") % 3 == 1, "not_implemented").otherwise("ok")
-    rows = t.events.withColumn("remote", remote)
-    return rows.select("event_id", F.when(F.col("remote") == "error", "local").otherwise("remote").alias("ran"), F.when(F.col("remote") == "error", "ok").otherwise(F.col("remote")).alias("status"))
+    told = tools.dispatched("remote")
+    return t.events.withColumn("remote", remote).select("event_id", told["ran"].alias("ran"), told["status"].alias("status"))
 
 
 @query("X11_summarize_result", "SELECT event_id, left(props, 400) AS summary FROM events")
 def summarize(t):
-    return t.events.select("event_id", F.substring("props", 1, 400).alias("summary"))
+    return t.events.select("event_id", tools.summary("props").alias("summary"))
 
 
-@query("X08_tool_registry")
+@query("X08_tool_registry", "SELECT * FROM (VALUES ('calculator', 'expression'), ('sql_executor', 'sql'), ('api_caller', 'url,method'), ('code_runner', 'snippet')) v(tool, inputs)")
 def registry(t):
-    return tools.registry(t.spark)
+    return tools.registry(t.spark).select("tool", F.array_join("inputs", ",").alias("inputs"))
 
 
 @query("P29_think_tag_strip", f"WITH {Q}, r AS (SELECT text, '<think>a' || chr(10) || 'b</think>' || text || '<Think>c</Think>' AS reply FROM q) SELECT text, trim(regexp_replace(regexp_replace(reply, '(?s)<[tT]hink>.*?</[tT]hink>', '', 'g'), '(?s)<[tT]hink>.*', '')) AS answer, trim(split_part(reply, '</think>', 2)) AS after FROM r")
@@ -189,13 +188,15 @@ def think(t):
     return asked(t).select("text", T.without_think(reply).alias("answer"), T.after_think(reply).alias("after"))
 
 
-@query("R24_thought_score_llm", f"WITH {Q} SELECT text, CASE WHEN length(text) % 4 = 0 THEN 0.0 ELSE least(1.0, (length(text) % 10) / 10.0) END::DOUBLE AS score FROM q")
+@query("R24_thought_score_llm", f"WITH {Q} SELECT text, CASE length(text) % 4 WHEN 0 THEN 0.0 WHEN 1 THEN CASE WHEN regexp_matches(text, '[a-zA-Z가-힣]') THEN 1.0 ELSE 0.0 END ELSE (length(text) % 10) / 10.0 END::DOUBLE AS score FROM q")
 def thought(t):
-    """0 without entities and events, else the reply's number."""
-    reply = F.concat(F.lit("0."), (F.length("text") % 10).cast("string"))
-    return asked(t).select("text", F.when(F.length("text") % 4 == 0, F.lit(0.0)).otherwise(routing.quality_from_reply(reply)).alias("score"))
+    """Some questions found nothing, some replies have no number; those fall back to the coverage."""
+    reply = F.when(F.length("text") % 4 == 1, "no idea").otherwise(F.concat(F.lit("0."), (F.length("text") % 10).cast("string")))
+    return asked(t).select("text", reasoning.thought_score(reply, F.length("text") % 4, F.col("text"), F.col("text")).alias("score"))
 
 
-@query("R33_router_searchers", "SELECT * FROM (VALUES (1, 'text'), (2, 'image')) v(place, searcher)")
+@query("R33_router_searchers", "SELECT label, CASE label % 4 WHEN 0 THEN 'default' WHEN 1 THEN 'text' WHEN 2 THEN 'image' ELSE 'text,image' END AS searchers FROM (SELECT DISTINCT label FROM embeddings)")
 def router(t):
-    return t.spark.createDataFrame([(1, "text"), (2, "image")], "place int, searcher string")
+    """The label stands for what is loaded: bit 0 for text, bit 1 for image."""
+    loaded = F.filter(F.array(F.when(F.col("label").bitwiseAND(2) > 0, "image"), F.when(F.col("label").bitwiseAND(1) > 0, "text")), lambda x: x.isNotNull())
+    return t.embeddings.select("label").distinct().select("label", F.array_join(routing.searchers_for(loaded), ",").alias("searchers"))

@@ -50,12 +50,12 @@ def crossref_search(t):
 
 TRAILS = f"""WITH RECURSIVE {NODES}, {EDGES}, {BOTH}, {SEEDS}, starts AS (SELECT id FROM s ORDER BY id LIMIT 10),
     walk AS (SELECT id AS start, [id] AS ns, []::VARCHAR[] AS es, id AS at, 0 AS hops FROM starts
-        UNION ALL SELECT start, list_append(ns, b.b), list_append(es, b.edge_id), b.b, hops + 1 FROM walk JOIN b ON b.a = walk.at WHERE hops < 3 AND NOT list_contains(es, b.edge_id)),
+        UNION ALL SELECT start, list_append(ns, b.b), list_append(es, b.edge_id), b.b, hops + 1 FROM walk JOIN b ON b.a = walk.at WHERE hops < 6 AND NOT list_contains(es, b.edge_id)),
     p AS (SELECT DISTINCT start, ns, es, hops FROM walk WHERE hops > 0 ORDER BY start, hops, array_to_string(ns, '>'), array_to_string(es, '>') LIMIT 20)"""
 
 
 def trails(t: Tables) -> DataFrame:
-    return graph.paths(edges(t), seeds(t, 10), 3, 20)
+    return graph.paths(edges(t), seeds(t, 10), 6, 20)
 
 
 @query("R12_deep_path_enumeration", TRAILS + " SELECT start, array_to_string(ns, '>') AS nodes, array_to_string(es, '>') AS edge_ids, hops FROM p")

@@ -8,10 +8,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from corvane.functions import text as T
-from corvane.operators import chunking, layout, tables, transcript
+from corvane.operators import chunking, layout, lifecycle, tables, transcript
+from corvane.plans.lineage import folder_for, written
 from corvane.plans.numbering import numbered
 from corvane.queries.registry import Tables, query
 from corvane.sources import files, scorers
+from corvane.streaming.ingest import incremental as ingest
 
 LATEX = " OR ".join(f"regexp_matches(text, '(?s){p}')" for p in T.LATEX)
 
@@ -249,9 +251,12 @@ def segments(t: Tables) -> DataFrame:
     return rows.groupBy("recording_id", "start", "end_time", "text").agg(F.max("speaker").alias("speaker"))
 
 
-@query("W02_gap_fill_segments", f"WITH {SEGMENTS}, g AS (SELECT *, coalesce(lag(end_time) OVER (PARTITION BY recording_id ORDER BY start, end_time), 0.0) AS cur FROM s) SELECT recording_id, start, end_time, speaker FROM s UNION ALL SELECT recording_id, cur, start, 'UNKNOWN' FROM g WHERE start > cur + 0.5")
+@query("W02_gap_fill_segments", f"WITH {SEGMENTS}, g AS (SELECT *, coalesce(lag(end_time) OVER (PARTITION BY recording_id ORDER BY start, end_time), 0.0) AS cur FROM s) SELECT recording_id, start, end_time, speaker FROM s UNION ALL SELECT recording_id, cur, start, 'UNKNOWN' FROM g WHERE start > cur + 0.5 UNION ALL SELECT recording_id, e, d, 'UNKNOWN' FROM (SELECT recording_id, last(end_time ORDER BY start, end_time) AS e, ceil(max(end_time) / 60) * 60.0 AS d FROM s GROUP BY 1) WHERE d > e + 0.5")
 def gap_fill(t):
-    return transcript.gap_fill(segments(t))
+    """A recording lasts to the end of the minute in which its last segment ends."""
+    rows = segments(t)
+    lasts = rows.groupBy("recording_id").agg((F.ceil(F.max("end_time") / 60) * 60.0).alias("duration"))
+    return transcript.gap_fill(rows, lasts)
 
 
 @query("W03_split_long_segments", f"WITH {SEGMENTS}, p AS (SELECT *, unnest(range(greatest(1, ceil((end_time - start) / 15.0))::BIGINT)) AS i FROM s) SELECT recording_id, text, speaker, i::INT AS piece, round(start + i * 15.0, 6) AS start, round(least(end_time, start + (i + 1) * 15.0), 6) AS end_time FROM p")
@@ -291,7 +296,8 @@ def by_speaker(t):
 
 @query("K21_write_transcript", MERGED + r" SELECT recording_id, string_agg('### ' || coalesce(speaker, 'None') || ' (' || printf('%.2f', start) || 's - ' || printf('%.2f', end_time) || 's)' || chr(10) || text, chr(10) || chr(10) ORDER BY island) AS markdown FROM k GROUP BY 1")
 def write_transcript(t):
-    return transcript.timeline(merged(t))
+    """Written as JSON lines, one for each recording, and read back."""
+    return written(transcript.timeline(merged(t)), "json")
 
 
 @query("P26_speech_plain_text", MERGED + " SELECT recording_id, string_agg(text, chr(10) ORDER BY island) AS text FROM k WHERE speaker <> 'UNKNOWN' GROUP BY 1")
@@ -386,12 +392,7 @@ def rendered(t):
 @query("ST2_incremental_ingest", "SELECT doc_id, source FROM documents")
 def incremental(t):
     """The documents folder as a stream of files, upserted by one run over what is available."""
-    import uuid
-
-    from corvane.plans.lineage import ensure_checkpoint_dir
-    from corvane.streaming.ingest import incremental as ingest
-
-    place = f"{ensure_checkpoint_dir(t.spark)}/ingest-{uuid.uuid4().hex}"
+    place = folder_for(t.spark, "ingest")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in t.documents.schema)
     ingest(t.spark, t.folder(), schema, place + "/checkpoint", lambda b: b.select("doc_id", "source"), place + "/table", ["doc_id"], "documents.parquet").awaitTermination()
-    return t.spark.read.parquet(place + "/table")
+    return lifecycle.read_table(t.spark, place + "/table")

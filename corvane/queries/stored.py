@@ -8,6 +8,7 @@ from corvane.functions.ids import chunk_key, document_id, uuid5
 from corvane.functions.text import extension, stem
 from corvane.functions import vectors
 from corvane.operators import lifecycle
+from corvane.plans.lineage import folder_for, written
 from corvane.plans.numbering import numbered
 from corvane.queries.graphs import UUID
 from corvane.queries.registry import query
@@ -22,8 +23,10 @@ def unique_chunks(t):
 
 @query("K01_write_chunks", f"SELECT chunk_id, {UUID.format('chunk_id')} AS uuid, max(coalesce(metadata['ingested_at'], '')) AS age FROM chunks WHERE chunk_id IS NOT NULL GROUP BY 1, 2")
 def write_chunks(t):
-    """Chunks by their deterministic uuid, the latest delivery of each."""
-    return unique_chunks(t).where("chunk_id is not null").select("chunk_id", uuid5("chunk_id").alias("uuid"), "age")
+    """Chunks by their deterministic uuid, the latest delivery of each, merged into a stored table and read from it."""
+    path = folder_for(t.spark, "chunks")
+    lifecycle.write_upsert(unique_chunks(t).where("chunk_id is not null").select("chunk_id", uuid5("chunk_id").alias("uuid"), "text", "document_id", "age"), path, ["uuid"])
+    return lifecycle.read_table(t.spark, path).select("chunk_id", "uuid", "age")
 
 
 @query("K02_import_text_docs", "SELECT doc_id, coalesce(nullif(session_id, ''), 'default') AS session_id, coalesce(document_id || '_chunk_' || page_num, md5(coalesce(text, ''))) AS chunk_id FROM documents")
@@ -79,13 +82,17 @@ def uuid_map(t):
 def write_pages(t):
     rows = t.page_responses.groupBy("page_id").agg(F.first("document_id").alias("document_id"), F.max(F.coalesce("natural_text", F.lit(""))).alias("text"))
     line = F.concat(F.lit("### "), F.col("page_id").cast("string"), F.lit(".png\n"), F.col("text"))
-    return rows.groupBy("document_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page_id", line.alias("line")))), lambda x: x["line"]), "\n\n").alias("markdown"))
+    texts = rows.groupBy("document_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page_id", line.alias("line")))), lambda x: x["line"]), "\n\n").alias("markdown"))
+    return written(texts, "json")
 
 
-@query("K18_write_graph_json")
+@query("K18_write_graph_json", """SELECT document_id, entities, relations, first_name FROM (
+    SELECT document_id, len(list_filter(e, lambda x: x IS NOT NULL)) AS entities, coalesce(len(r), 0) AS relations, e[1].name AS first_name FROM (SELECT document_id, max_by(entities, extracted_at) AS e, arg_max_null(relations, extracted_at) AS r FROM extractions GROUP BY 1))""")
 def graph_json(t):
-    last = t.extractions.groupBy("document_id").agg(F.max_by(F.struct("entities", "relations"), "extracted_at").alias("g"))
-    return last.select("document_id", F.to_json(F.struct("document_id", "g.entities", "g.relations")).alias("json"))
+    """One JSON line for each document, written once and read back with the reader's schema."""
+    last = t.extractions.groupBy("document_id").agg(F.max_by(F.struct("entities", "relations"), "extracted_at").alias("g")).select("document_id", "g.entities", "g.relations")
+    read = written(last, "json")
+    return read.select("document_id", F.size("entities").alias("entities"), F.coalesce(F.size("relations"), F.lit(0)).alias("relations"), F.col("entities")[0]["name"].alias("first_name"))
 
 
 @query("K19_merge_metadata_files", "SELECT folder, min(path) AS title, count(*) AS files FROM (SELECT DISTINCT metadata['file_path'] AS path, regexp_extract(metadata['file_path'], '^(.*)/[^/]+$', 1) AS folder FROM chunks WHERE metadata['file_path'] IS NOT NULL) GROUP BY folder")
@@ -109,7 +116,10 @@ def retention(t):
 
 @query("K22_write_file_catalog", "SELECT count(DISTINCT metadata['file_path']) AS total_files, 1.0::DOUBLE AS version FROM chunks")
 def write_catalog(t):
-    return t.chunks.agg(F.countDistinct(F.col("metadata")["file_path"]).alias("total_files")).withColumn("version", F.lit(1.0))
+    """The files as JSON lines beside a header, both written and read back."""
+    files = written(t.chunks.select(F.col("metadata")["file_path"].alias("path")).where("path is not null").distinct(), "json")
+    header = files.agg(F.count(F.lit(1)).alias("total_files")).withColumn("version", F.lit(1.0))
+    return written(header, "json")
 
 
 @query("S10_fetch_by_id", "SELECT w.id, coalesce(n.name, w.id) AS name FROM (SELECT DISTINCT src AS id FROM graph_edges) w LEFT JOIN (SELECT id, min(name) AS name FROM graph_nodes GROUP BY id) n USING (id)")

@@ -104,8 +104,9 @@ def test_split_long(spark):
 
 def test_gap_fill(spark):
     df = spark.createDataFrame([("r", 1.0, 2.0, "a"), ("r", 2.3, 3.0, "b")], "recording_id string, start double, end_time double, speaker string")
-    got = sorted((r["start"], r["end_time"], r["speaker"]) for r in transcript.gap_fill(df).collect())
-    assert got == [(0.0, 1.0, "UNKNOWN"), (1.0, 2.0, "a"), (2.3, 3.0, "b")]
+    lasts = spark.createDataFrame([("r", 5.0), ("silent", 2.0)], "recording_id string, duration double")
+    got = sorted((r["recording_id"], r["start"], r["end_time"], r["speaker"]) for r in transcript.gap_fill(df, lasts).collect())
+    assert got == [("r", 0.0, 1.0, "UNKNOWN"), ("r", 1.0, 2.0, "a"), ("r", 2.3, 3.0, "b"), ("r", 3.0, 5.0, "UNKNOWN"), ("silent", 0.0, 2.0, "UNKNOWN")]
 
 
 def test_box_distance(spark):

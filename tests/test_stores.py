@@ -24,7 +24,50 @@ def test_write_upsert_is_idempotent(spark, tmp_path):
     b = spark.createDataFrame([(2, "c"), (3, "d")], "k int, v string")
     for _ in range(2):
         lifecycle.write_upsert(b, path, ["k"])
-        assert rows(spark.read.parquet(path)) == [(1, "a"), (2, "c"), (3, "d")]
+        assert rows(lifecycle.read_table(spark, path)) == [(1, "a"), (2, "c"), (3, "d")]
+
+
+def test_upsert_keeps_one_row_of_a_key(spark):
+    new = spark.createDataFrame([(1, "a", 1), (1, "b", 2), (None, "x", 1), (None, "y", 2), (1, "c", 1)], "k int, v string, t int")
+    old = spark.createDataFrame([(None, "old", 0), (1, "old", 9), (2, "old", 0)], "k int, v string, t int")
+    want = [(1, "b", 2), (2, "old", 0), (None, "y", 2)]
+    got = lifecycle.upsert(old, new, ["k"], F.col("t"))
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+    again = lifecycle.upsert(got, new, ["k"], F.col("t"))
+    assert sorted(map(tuple, again.collect()), key=str) == sorted(want, key=str)
+    assert lifecycle.upsert(None, new.limit(0), ["k"]).count() == 0
+    keys = spark.createDataFrame([(1,), (1,), (None,)], "k int")
+    assert lifecycle.upsert(keys, keys, ["k"]).count() == 2
+
+
+def test_a_merge_rewrites_only_its_buckets(spark, tmp_path):
+    path = str(tmp_path / "t")
+    lifecycle.write_upsert(spark.createDataFrame([(i, "a") for i in range(200)], "k int, v string"), path, ["k"], buckets=16)
+    before = lifecycle._manifest(spark, path)[1]["buckets"]
+    lifecycle.write_upsert(spark.createDataFrame([(7, "b"), (7, "c"), (None, "d")], "k int, v string"), path, ["k"])
+    after = lifecycle._manifest(spark, path)[1]["buckets"]
+    assert len(before) == 16 and sum(before[b] != after[b] for b in before) <= 2
+    got = {r["k"]: r["v"] for r in lifecycle.read_table(spark, path).collect()}
+    assert got[7] == "c" and got[None] == "d" and len(got) == 201
+
+
+def test_zero_hops(spark):
+    e = graph.with_edge_ids(spark.createDataFrame([("a", "b", "r", "d")], "src string, tgt string, relation string, doc_id string"))
+    reached, followed = graph.traverse(e, spark.createDataFrame([("a",)], "id string"), 0)
+    assert rows(reached) == [("a", 0)] and followed.count() == 0
+
+
+def test_limited_paths_are_the_first_of_all(spark):
+    import random
+
+    rng = random.Random(6)
+    pairs = [(f"n{rng.randrange(14)}", f"n{rng.randrange(14)}") for _ in range(18)] + [("hub", f"n{i}") for i in range(14)]
+    e = graph.with_edge_ids(spark.createDataFrame([(a, b, "r", "d") for a, b in pairs], "src string, tgt string, relation string, doc_id string"))
+    starts = spark.createDataFrame([("n1",), ("n3",), ("lonely",), ("hub",)], "id string")
+    every = [tuple(r) for r in graph.paths(e, starts, 3).collect()]
+    key = lambda r: (r[0], r[3], ">".join(r[1]), ">".join(r[2]))
+    for limit in (1, 5, 40):
+        assert [tuple(r) for r in graph.paths(e, starts, 3, limit).collect()] == sorted(every, key=key)[:limit]
 
 
 def test_tables_are_created_and_dropped(spark):
@@ -101,7 +144,7 @@ def test_incremental_ingest_continues(spark, tmp_path):
     run()
     spark.createDataFrame([(1, "b"), (2, "c")], "k int, v string").coalesce(1).write.mode("append").parquet(source)
     run()
-    assert rows(spark.read.parquet(target)) == [(1, "b"), (2, "c")]
+    assert rows(lifecycle.read_table(spark, target)) == [(1, "b"), (2, "c")]
 
 
 def test_session_stream_equals_batch(spark, data, tmp_path):
