@@ -68,20 +68,24 @@ def path_scores(question: Column | str, hops: Column | str) -> dict[str, Column]
     }
 
 
-def best_of(question: Column | str, hops: Column | str, remaining: Column | str) -> Column:
-    """``struct(minus, i, path)`` of the remaining path with most points, the earlier in the list on ties; null if none
-    remains."""
+def with_scores(questions: DataFrame, question: Column | str, hops: Column | str) -> DataFrame:
+    """Adds ``_scores``, the points of each path, as a column of its own, so that they are counted once for each row."""
     scores = path_scores(question, hops)
-    table = F.map_from_arrays(F.array(*[F.lit(p) for p in PATHS]), F.array(*[scores[p] for p in PATHS]))
+    return questions.withColumn("_scores", F.map_from_arrays(F.array(*[F.lit(p) for p in PATHS]), F.array(*[scores[p] for p in PATHS])))
+
+
+def best_of(remaining: Column | str) -> Column:
+    """``struct(minus, i, path)`` of the remaining path with most points by ``_scores``, the earlier in the list on ties;
+    null if none remains."""
     left = F.col(remaining) if isinstance(remaining, str) else remaining
-    return F.array_min(F.transform(left, lambda p, i: F.struct((-table[p]).alias("minus"), i.alias("i"), p.alias("path"))))
+    return F.array_min(F.transform(left, lambda p, i: F.struct((-F.col("_scores")[p]).alias("minus"), i.alias("i"), p.alias("path"))))
 
 
 def best_path(questions: DataFrame, key: str, question: str, hops: str, remaining: str) -> DataFrame:
     """``key, path, path_score``: the remaining path with most points, the earlier in the list on ties; vector if
     none remains."""
-    best = best_of(question, hops, remaining)
-    return questions.select(key, F.coalesce(best["path"], F.lit("vector")).alias("path"), (-best["minus"]).alias("path_score"))
+    best = best_of(remaining)
+    return with_scores(questions, question, hops).select(key, F.coalesce(best["path"], F.lit("vector")).alias("path"), (-best["minus"]).alias("path_score"))
 
 
 def delegate(path: Column | str, snippets: Column | str, quality: Column | str) -> Column:
@@ -114,8 +118,8 @@ def quality_gate(rows: DataFrame, quality: str, backtracks: str, path: str, trie
     done = F.array_union(F.col(tried), F.array(F.col(path)))
     left = F.array_except(F.array(*[F.lit(p) for p in PATHS]), done)
     passed = (F.col(quality) >= least) | (F.col(backtracks) >= most) | (F.size(left) == 0)
-    chosen = F.coalesce(best_of(question, hops, left)["path"], F.lit("vector"))
-    return rows.select(key, passed.alias("passed"), F.when(~passed, chosen).alias("next_path"))
+    chosen = F.coalesce(best_of(left)["path"], F.lit("vector"))
+    return with_scores(rows, question, hops).select(key, passed.alias("passed"), F.when(~passed, chosen).alias("next_path"))
 
 
 def intent(question: Column | str) -> Column:
