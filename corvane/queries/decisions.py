@@ -8,6 +8,17 @@ from corvane.functions import text as T
 from corvane.operators import reasoning, routing, tools
 from corvane.queries.registry import Tables, query
 
+#: Fixed values, written out once more so that the SQL does not take them from the library.
+DEEP = [r"이어지는|흐름|전체.*경로|체인|파이프라인|단계.*거쳐", r"모든.*연결|병목|end.to.end|전파|순서대로", r"어떻게.*거쳐|경유|다단계|멀티.?홉|multi.?hop"]
+MIDDLE = [r"비교|차이|관계|의존|영향|상호작용|연관", r"어떻게.*다른|versus|vs\b|trade.?off", r"장단점|pros.*cons|결합|통합"]
+SIMPLE = ["무엇", "what", "정의", "definition", "설명", "explain", "describe"]
+RELATION = ["관계", "비교", "차이", "연관", "영향", "상호작용", "relate", "compare", "difference", "connection", "impact", "versus", "vs", "trade-off", "장단점", "pros", "cons"]
+CHAIN = ["경로", "흐름", "단계", "체인", "파이프라인", "전체", "모든", "path", "flow", "chain", "pipeline", "end-to-end", "trace", "거쳐", "경유", "순서", "과정", "process", "이어지는"]
+CALCULATE = ["sum", "plus", "minus", "곱", "더해", "빼", "계산", "나눠", "%", "^", "×", "÷"]
+DATABASE = ["sql", "select", "join", "database", "쿼리", "테이블", "insert", "update", "delete"]
+API = ["api", "endpoint", "request", "curl", "http", "호출", "fetch"]
+PROGRAM = ["code", "python", "script", "실행", "run", "function", "에러", "execute"]
+
 Q = "q AS (SELECT DISTINCT text FROM transcriptions WHERE text IS NOT NULL)"
 
 
@@ -29,12 +40,12 @@ def _patterns(column: str, patterns: list[str], points: int) -> str:
 
 
 SEPS = f"({_count('lower(text)', '/')} + {_count('lower(text)', ',')})"
-HOPS = f"greatest(1, least(6, ({_count('lower(text)', '→')} + {_count('lower(text)', '->')}) * 2 + {SEPS} + {_patterns('lower(text)', routing.DEEP, 3)} + {_patterns('lower(text)', routing.MIDDLE, 2)}))"
+HOPS = f"greatest(1, least(6, ({_count('lower(text)', '→')} + {_count('lower(text)', '->')}) * 2 + {SEPS} + {_patterns('lower(text)', DEEP, 3)} + {_patterns('lower(text)', MIDDLE, 2)}))"
 ROUTE = "CASE WHEN h <= 2 THEN 'vector' WHEN h <= 5 THEN 'cross_ref' ELSE 'graph_db' END"
 SCORES = {
-    "vector": f"CASE WHEN h <= 2 THEN 3.0 ELSE 0 END + CASE WHEN {_any('lower(text)', routing.SIMPLE)} THEN 1.0 ELSE 0 END + CASE WHEN {SEPS} = 0 THEN 0.5 ELSE 0 END",
-    "cross_ref": f"CASE WHEN h BETWEEN 3 AND 5 THEN 3.0 ELSE 0 END + CASE WHEN {_any('lower(text)', routing.RELATION)} THEN 2.0 ELSE 0 END + CASE WHEN {SEPS} BETWEEN 1 AND 3 THEN 1.0 ELSE 0 END",
-    "graph_db": f"CASE WHEN h >= 6 THEN 3.0 ELSE 0 END + CASE WHEN {_any('lower(text)', routing.CHAIN)} THEN 2.0 ELSE 0 END + CASE WHEN {_any('text', ['→', '->', '=>'])} THEN 1.5 ELSE 0 END + CASE WHEN {SEPS} >= 3 THEN 1.0 ELSE 0 END",
+    "vector": f"CASE WHEN h <= 2 THEN 3.0 ELSE 0 END + CASE WHEN {_any('lower(text)', SIMPLE)} THEN 1.0 ELSE 0 END + CASE WHEN {SEPS} = 0 THEN 0.5 ELSE 0 END",
+    "cross_ref": f"CASE WHEN h BETWEEN 3 AND 5 THEN 3.0 ELSE 0 END + CASE WHEN {_any('lower(text)', RELATION)} THEN 2.0 ELSE 0 END + CASE WHEN {SEPS} BETWEEN 1 AND 3 THEN 1.0 ELSE 0 END",
+    "graph_db": f"CASE WHEN h >= 6 THEN 3.0 ELSE 0 END + CASE WHEN {_any('lower(text)', CHAIN)} THEN 2.0 ELSE 0 END + CASE WHEN {_any('text', ['→', '->', '=>'])} THEN 1.5 ELSE 0 END + CASE WHEN {SEPS} >= 3 THEN 1.0 ELSE 0 END",
 }
 HQ = f"{Q}, hq AS (SELECT text, {HOPS} AS h FROM q), sc AS (SELECT *, ({SCORES['vector']})::DOUBLE AS sv, ({SCORES['cross_ref']})::DOUBLE AS sx, ({SCORES['graph_db']})::DOUBLE AS sg FROM hq)"
 
@@ -121,7 +132,7 @@ def rewrite(t):
     return asked(t).select("text", F.array_join(routing.rewrites(reply, "text"), "|").alias("rewrites"))
 
 
-INTENT = f"CASE WHEN {_any('lower(text)', routing.CALCULATE)} AND regexp_matches(text, '[0-9]') THEN 'calculation' WHEN {_any('lower(text)', routing.DATABASE)} THEN 'database' WHEN {_any('lower(text)', routing.API)} THEN 'api_call' WHEN {_any('lower(text)', routing.PROGRAM)} THEN 'code_exec' ELSE 'knowledge' END"
+INTENT = f"CASE WHEN {_any('lower(text)', CALCULATE)} AND regexp_matches(text, '[0-9]') THEN 'calculation' WHEN {_any('lower(text)', DATABASE)} THEN 'database' WHEN {_any('lower(text)', API)} THEN 'api_call' WHEN {_any('lower(text)', PROGRAM)} THEN 'code_exec' ELSE 'knowledge' END"
 
 
 @query("X01_intent_classify_heuristic", f"WITH {Q} SELECT text, {INTENT} AS intent FROM q")
