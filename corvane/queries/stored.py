@@ -90,9 +90,10 @@ def write_pages(t):
     SELECT document_id, len(list_filter(e, lambda x: x IS NOT NULL)) AS entities, coalesce(len(r), 0) AS relations, e[1].name AS first_name FROM (SELECT document_id, max_by(entities, extracted_at) AS e, arg_max_null(relations, extracted_at) AS r FROM extractions GROUP BY 1))""")
 def graph_json(t):
     """One JSON line for each document, written once and read back with the reader's schema."""
-    last = t.extractions.groupBy("document_id").agg(F.max_by(F.struct("entities", "relations"), "extracted_at").alias("g")).select("document_id", "g.entities", "g.relations")
+    told = F.when(F.col("entities").isNotNull(), F.col("extracted_at"))  # a delivery without entities leaves those before
+    last = t.extractions.groupBy("document_id").agg(F.max_by("entities", told).alias("entities"), F.max_by("relations", "extracted_at").alias("relations"))
     read = written(last, "json")
-    return read.select("document_id", F.size("entities").alias("entities"), F.coalesce(F.size("relations"), F.lit(0)).alias("relations"), F.col("entities")[0]["name"].alias("first_name"))
+    return read.select("document_id", F.size(F.filter("entities", lambda x: x.isNotNull())).alias("entities"), F.coalesce(F.size("relations"), F.lit(0)).alias("relations"), F.get("entities", F.lit(0))["name"].alias("first_name"))
 
 
 @query("K19_merge_metadata_files", "SELECT folder, min(path) AS title, count(*) AS files FROM (SELECT DISTINCT metadata['file_path'] AS path, regexp_extract(metadata['file_path'], '^(.*)/[^/]+$', 1) AS folder FROM chunks WHERE metadata['file_path'] IS NOT NULL) GROUP BY folder")
