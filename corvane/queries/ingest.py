@@ -394,5 +394,5 @@ def incremental(t):
     """The documents folder as a stream of files, upserted by one run over what is available."""
     place = folder_for(t.spark, "ingest")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in t.documents.schema)
-    ingest(t.spark, t.folder(), schema, place + "/checkpoint", lambda b: b.select("doc_id", "source"), place + "/table", ["doc_id"], "documents.parquet").awaitTermination()
+    ingest(t.spark, t.folder() + "/documents.parquet", schema, place + "/checkpoint", lambda b: b.select("doc_id", "source"), place + "/table", ["doc_id"], "*").awaitTermination()
     return lifecycle.read_table(t.spark, place + "/table")

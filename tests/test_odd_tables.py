@@ -4,6 +4,7 @@ from datetime import datetime
 from pathlib import Path
 
 import duckdb
+import pytest
 from oracle import same
 
 import __spark_entry__
@@ -28,3 +29,22 @@ def test_graphs_without_entities(spark, tmp_path):
     ]
     spark.createDataFrame(rows, EXTRACTIONS).write.parquet(str(tmp_path / "extractions.parquet"))
     same(QUERIES["K18_write_graph_json"](spark, str(tmp_path)), connect(tmp_path), SQL["K18_write_graph_json"])
+
+
+@pytest.mark.parametrize("files", ["one", "folder", "empty", "no extension"])
+def test_ingest_of_tables_in_any_files(spark, tmp_path, files):
+    table = tmp_path / "documents.parquet"
+    rows = spark.range(0, 0 if files == "empty" else 40, 1, 3).selectExpr("concat('d', id) AS doc_id", "if(id % 5 = 0, NULL, 's') AS source", "'x' AS text")
+    rows.write.parquet(str(tmp_path / "parts"))
+    parts = sorted((tmp_path / "parts").glob("part-*.parquet"))
+    if files == "one":
+        parts[0].rename(table)
+    else:
+        table.mkdir()
+        for i, part in enumerate(parts):
+            part.rename(table / (f"part-{i}" if files == "no extension" else part.name))
+    found = sorted(map(tuple, QUERIES["ST2_incremental_ingest"](spark, str(tmp_path)).collect()))
+    con = connect(tmp_path) if files != "no extension" else duckdb.connect()
+    if files == "no extension":
+        con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{table}/part-*')")
+    assert found == sorted(con.execute(SQL["ST2_incremental_ingest"]).fetchall()) and bool(found) == (files != "empty")
