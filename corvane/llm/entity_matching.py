@@ -275,8 +275,8 @@ def edited(propers: DataFrame) -> DataFrame:
 
     Two words within one edit are equal after one letter is left out of one or both. A key is one word without one
     letter, or whole, with the first and last letter of the other, so names are lost only if an end of either word
-    differs. Where many names share a key, the other word without one letter is added to it: what meets then has at
-    most one edit in each word, and no group grows with the table."""
+    differs. Where many names share a key, what stands between those ends without up to two letters is added to it:
+    other words within two edits meet there too, so all pairs are found whatever the size of a group."""
     less = lambda w: F.array_distinct(F.concat(F.array(F.col(w)), F.when(F.length(w) >= EDITED, F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(F.substr(w, F.lit(1), i - 1), F.substr(w, i + 1)))).otherwise(F.array().cast("array<string>"))))
     ends = lambda w: F.concat(F.substring(w, 1, 1), F.right(F.col(w), F.lit(1)))
     halves = propers.withColumn("a", F.split("proper", " ")[0]).withColumn("b", F.coalesce(F.get(F.split("proper", " "), F.lit(1)), F.lit("")))
@@ -287,7 +287,10 @@ def edited(propers: DataFrame) -> DataFrame:
     few, many = met.where(F.col("of") <= CROWD).select("key", "p", "n"), met.where(F.col("of") > CROWD)
     if not many.isEmpty():
         many = many.withColumn("w", F.coalesce(F.get(F.split("p", " "), F.when(F.col("side") == 1, 1).otherwise(0)), F.lit("")))
-        few = few.union(many.select(F.explode(F.transform(less("w"), lambda x: F.xxhash64("key", x))).alias("key"), "p", "n"))
+        out = lambda w: F.array_distinct(F.concat(F.array(w), F.when(F.length(w) > 0, F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(F.substr(w, F.lit(1), i - 1), F.substr(w, i + 1)))).otherwise(F.array().cast("array<string>"))))
+        inner = many.withColumn("w", F.when(F.length("w") > 2, F.substr("w", F.lit(2), F.length("w") - 2)).otherwise(F.lit("")))
+        nearer = inner.withColumn("w", F.array_distinct(F.flatten(F.transform(out(F.col("w")), out))))
+        few = few.union(nearer.select(F.explode(F.transform("w", lambda x: F.xxhash64("key", x))).alias("key"), "p", "n"))
     pairs = few.join(few.select("key", F.col("p").alias("q"), F.col("n").alias("nq")), "key").where("p < q").select("p", "q", F.col("n").alias("np"), "nq").distinct()
     word = lambda c, i: F.coalesce(F.get(F.split(c, " "), F.lit(i)), F.lit(""))
     edits = [F.levenshtein(word("p", i), word("q", i)) for i in (0, 1)]
