@@ -20,14 +20,16 @@ from pyspark.sql import DataFrame, functions as F
 
 from corvane.plans.lineage import cut
 
-#: Most frequent words that are shipped to all tasks (the others are joined to the pages that need them), those that
-#: get vectors, and what makes a word frequent.
+#: Most frequent words that are shipped to all tasks (the others are joined to the pages that need them), words whose
+#: vectors are fitted on the driver (more are fitted by the tasks), and what makes a word frequent.
 WORDS, VECTORS, FREQUENT, RATIO = 65_536, 2048, 5, 8
 #: A correction must fit its context as well as all but such a share of the neighbours in the text fit each other.
 UNFIT = 0.02
 #: A word with a capital is corrected only to one that has a capital in such a share; others are names.
 CAPITALS, NAMES = 0.03, 2e-5
 DIMENSIONS, STEPS, NEGATIVES, NEAR = 24, 60, 5, 2
+#: Numbers that a task holds at once of a block of rows against all words.
+AT_ONCE = 1 << 22
 EDGE_LINES, HEAD_CHARS = 2, 90
 #: Numbers that stand equally far from page_num are the pages' if so large a share of the pages has them, two at least.
 NUMBERED = 0.05
@@ -171,10 +173,12 @@ def count_words(pages: DataFrame) -> DataFrame:
 
 
 def skip_grams(pages: DataFrame, words: dict[str, int]) -> tuple[list[str], np.ndarray, np.ndarray, float]:
-    """Vectors of the most frequent words and of their contexts, and the least fit. Neighbour pairs are counted over all pages; at most
-    VECTORS squared counts come to the driver, where the negative-sampling objective is climbed."""
-    named = sorted(words, key=lambda w: (-words[w], w))[:VECTORS]
+    """Vectors of all ``words``, the most frequent first, and of their contexts, and the least fit. Neighbour pairs are
+    counted over all pages. The counts of at most VECTORS words come to the driver, those of more stay with the tasks;
+    the same objective is climbed for both."""
+    named = sorted(words, key=lambda w: (-words[w], w))
     ids = {w: i for i, w in enumerate(named)}
+    size = len(named)
     shared = pages.sparkSession.sparkContext.broadcast(ids)
 
     def run(batches):
@@ -184,46 +188,160 @@ def skip_grams(pages: DataFrame, words: dict[str, int]) -> tuple[list[str], np.n
             for text in batch.column(0).to_pylist():
                 row = [ids.get(core_of(t).lower(), -1) for _, line in running_lines(text) for t in TOKEN.findall(line)]
                 for k in range(1, NEAR + 1):
-                    counts.update(a * VECTORS + b for a, b in zip(row, row[k:]) if a >= 0 and b >= 0)
+                    counts.update(a * size + b for a, b in zip(row, row[k:]) if a >= 0 and b >= 0)
             yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int64()), pa.array(list(counts.values()), pa.int64())], names=["pair", "n"])
 
-    pairs = pages.select("natural_text").mapInArrow(run, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
-    size = len(named)
-    seen = np.zeros((size, size))
-    pair, n = np.asarray(pairs.column("pair")), np.asarray(pairs.column("n"))
-    np.add.at(seen, (pair // VECTORS, pair % VECTORS), n)
-    seen += seen.T
+    pairs = pages.select("natural_text").mapInArrow(run, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
+    seen = Matrix.of(pairs, size) if size <= VECTORS else Blocks.of(pairs, size)
     vectors, contexts = climb(seen)
-    return named, vectors, contexts, least_fit(seen, vectors, contexts)
-
-
-def least_fit(seen: np.ndarray, vectors: np.ndarray, contexts: np.ndarray) -> float:
-    """The inner product that all but the share UNFIT of the neighbours in the text reach."""
-    a, b = np.nonzero(seen)
-    if len(a) == 0:
-        return 0.0
-    fit = np.einsum("nd,nd->n", vectors[a], contexts[b])
-    order = np.argsort(fit)
-    weight = np.cumsum(seen[a, b][order])
-    return float(fit[order[np.searchsorted(weight, UNFIT * weight[-1])]])
-
-
-def climb(seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return named, vectors, contexts, seen.least_fit(vectors, contexts)
+
+
+def odds_of(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -12, 12)))
+
+
+class Matrix:
+    """How often words stand near each other, as a symmetric matrix."""
+
+    def __init__(self, seen: np.ndarray):
+        self.counts, self.sums = seen, seen.sum(0)
+        noise = self.sums**0.75
+        self.seen = seen.astype(np.float32)
+        self.expected = (NEGATIVES * np.outer(self.sums, noise / max(noise.sum(), 1e-9))).astype(np.float32)
+        self.weight = (1 / (self.sums[:, None] + 1)).astype(np.float32)
+
+    def __len__(self) -> int:
+        return len(self.sums)
+
+    @classmethod
+    def of(cls, pairs: DataFrame, size: int) -> Matrix:
+        found = pairs.toArrow()
+        pair, n = np.asarray(found.column("pair")), np.asarray(found.column("n"))
+        seen = np.zeros((size, size))
+        if size:
+            np.add.at(seen, (pair // size, pair % size), n)
+        return cls(seen + seen.T)
+
+    def slopes(self, vectors: np.ndarray, contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        p = odds_of(vectors @ contexts.T)
+        slope = (self.seen * (1 - p) - self.expected * p) * self.weight
+        return slope @ contexts, slope.T @ vectors
+
+    def least_fit(self, vectors: np.ndarray, contexts: np.ndarray) -> float:
+        """The inner product that all but the share UNFIT of the neighbours in the text reach."""
+        a, b = np.nonzero(self.counts)
+        if len(a) == 0:
+            return 0.0
+        fit = np.einsum("nd,nd->n", vectors[a], contexts[b])
+        order = np.argsort(fit)
+        weight = np.cumsum(self.counts[a, b][order])
+        return float(fit[order[np.searchsorted(weight, UNFIT * weight[-1])]])
+
+
+class Blocks:
+    """The same as ``Matrix``, but the pairs lie in blocks of rows with the tasks: row ``i`` in block ``i % number``. A
+    task has the slopes of the vectors and, as the counts are symmetric, of the contexts of its rows."""
+
+    def __init__(self, rows: DataFrame, sums: np.ndarray, number: int):
+        self.rows, self.sums, self.number = rows, sums, number
+
+    def __len__(self) -> int:
+        return len(self.sums)
+
+    @classmethod
+    def of(cls, pairs: DataFrame, size: int) -> Blocks:
+        tasks = 2 * pairs.sparkSession.sparkContext.defaultParallelism
+        number = max(4 * tasks, -(-size // 512))
+        pairs = cut(pairs.select(F.expr(f"int(pair div {size})").alias("at"), F.expr(f"int(pair % {size})").alias("to"), "n"))
+        both = pairs.union(pairs.select("to", "at", "n")).groupBy("at", "to").agg(F.sum("n").cast("double").alias("n"))
+        rows = both.withColumn("block", F.col("at") % number).repartition(tasks, "block").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("at", "to", "n"))).alias("p"))
+        rows = cut(rows.select("block", "p.at", "p.to", "p.n"))
+        found = rows.select(F.explode(F.arrays_zip("at", "n")).alias("p")).groupBy("p.at").agg(F.sum("p.n").alias("n")).toArrow()
+        sums = np.zeros(size)
+        sums[np.asarray(found.column("at"))] = np.asarray(found.column("n"))
+        return cls(rows, sums, number)
+
+    def run(self, work, schema: str, vectors: np.ndarray, contexts: np.ndarray):
+        """Rows of ``work(block, at, to, n, vectors, contexts)``, which gives a batch for each block."""
+        shared = self.rows.sparkSession.sparkContext.broadcast((vectors, contexts))
+
+        def each(batches):
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    yield work(batch.column(0)[i].as_py(), *(batch.column(k)[i].values.to_numpy(zero_copy_only=False) for k in (1, 2, 3)), *shared.value)
+
+        return self.rows.mapInArrow(each, schema), shared
+
+    def slopes(self, vectors: np.ndarray, contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        size, number = len(self), self.number
+        sums = self.sums.astype(np.float32)
+        noise = self.sums**0.75
+        expected, weight = (NEGATIVES * noise / max(noise.sum(), 1e-9)).astype(np.float32), (1 / (self.sums + 1)).astype(np.float32)
+
+        def work(block, at, to, n, vectors, contexts):
+            own, n = np.arange(block, size, number), n.astype(np.float32)
+            of_vectors, of_contexts = [], []
+            step = max(1, AT_ONCE // size)
+            for k in range(0, len(own), step):
+                here = own[k : k + step]
+                first, last = np.searchsorted(at, [here[0], here[-1] + 1])
+                r, c, m = (at[first:last] - here[0]) // number, to[first:last], n[first:last]
+                p = odds_of(vectors[here] @ contexts.T)
+                slope = -sums[here, None] * expected * p
+                slope[r, c] += m * (1 - p[r, c])
+                of_vectors.append((slope * weight[here, None]) @ contexts)
+                p = odds_of(contexts[here] @ vectors.T)
+                slope = -sums * expected[here, None] * p
+                slope[r, c] += m * (1 - p[r, c])
+                of_contexts.append((slope * weight) @ vectors)
+            both = [pa.array([np.concatenate(x).astype(np.float32).tobytes()], pa.binary()) for x in (of_vectors, of_contexts)]
+            return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), *both], names=["block", "v", "c"])
+
+        rows, shared = self.run(work, "block int, v binary, c binary", vectors, contexts)
+        out = np.zeros_like(vectors), np.zeros_like(contexts)
+        for r in rows.collect():
+            for x, name in zip(out, ("v", "c")):
+                x[r["block"] :: number] = np.frombuffer(r[name], np.float32).reshape(-1, x.shape[1])
+        shared.destroy()
+        return out
+
+    def least_fit(self, vectors: np.ndarray, contexts: np.ndarray) -> float:
+        """As that of ``Matrix``, to single precision: the upper half of its bits is found first, then the lower."""
+
+        def work(block, at, to, n, vectors, contexts):
+            bits = np.einsum("nd,nd->n", vectors[at], contexts[to]).astype(np.float32).view(np.int32).astype(np.int64)
+            place = np.where(bits < 0, -1 - (bits & 0x7FFFFFFF), bits) + (1 << 31)  # rises with the number
+            place, index = np.unique(place, return_inverse=True)
+            return pa.RecordBatch.from_arrays([pa.array(place, pa.int64()), pa.array(np.bincount(index, n, len(place)), pa.float64())], names=["place", "n"])
+
+        rows, shared = self.run(work, "place bigint, n double", vectors, contexts)
+        below, upper, key = 0.0, None, F.col("place").bitwiseAND(0xFFFF)
+        for digit in (F.shiftright("place", 16), key):
+            found = (rows if upper is None else rows.where(F.shiftright("place", 16) == upper)).groupBy(digit.alias("digit")).agg(F.sum("n").alias("n")).orderBy("digit").collect()
+            weight = below + np.cumsum([r["n"] for r in found])
+            at = min(int(np.searchsorted(weight, UNFIT * self.sums.sum())), len(found) - 1) if found else -1
+            if at < 0:
+                return 0.0
+            below = weight[at - 1] if at else below
+            place = found[at]["digit"] if upper is None else (upper << 16) + found[at]["digit"]
+            upper = place
+        shared.destroy()
+        place -= 1 << 31
+        value = np.array([place if place >= 0 else (-1 - place) - (1 << 31)], np.int64).astype(np.int32).view(np.float32)[0]
+        return float(np.nextafter(value, np.float32(-np.inf)))
+
+
+def climb(seen: Matrix | Blocks) -> tuple[np.ndarray, np.ndarray]:
     """Skip-gram vectors from neighbour counts: full-batch Adam on the expected negative-sampling objective."""
     size = len(seen)
-    if size == 0 or seen.sum() == 0:
+    if size == 0 or seen.sums.sum() == 0:
         return np.zeros((size, DIMENSIONS)), np.zeros((size, DIMENSIONS))
-    noise = seen.sum(0) ** 0.75
-    expected = (NEGATIVES * np.outer(seen.sum(1), noise / noise.sum())).astype(np.float32)
-    weight = (1 / (seen.sum(1, keepdims=True) + 1)).astype(np.float32)
-    seen = seen.astype(np.float32)
     rng = np.random.default_rng(3)
     both = [rng.normal(0, 0.1, (size, DIMENSIONS)).astype(np.float32) for _ in range(2)]
     first, second = [np.zeros_like(x) for x in both], [np.zeros_like(x) for x in both]
     for step in range(1, STEPS + 1):
-        p = 1 / (1 + np.exp(-np.clip(both[0] @ both[1].T, -12, 12)))
-        slope = (seen * (1 - p) - expected * p) * weight
-        for i, g in enumerate((slope @ both[1], slope.T @ both[0])):
+        for i, g in enumerate(seen.slopes(*both)):
             first[i] = 0.9 * first[i] + 0.1 * g
             second[i] = 0.99 * second[i] + 0.01 * g * g
             both[i] = both[i] + 0.05 * (first[i] / (1 - 0.9**step)) / (np.sqrt(second[i] / (1 - 0.99**step)) + 1e-8)
@@ -261,6 +379,7 @@ class Corrector:
         self.others = others or {}
         self.vectors, self.contexts, self.least = vectors, contexts, least
         self.memo: dict[str, list[str]] = {}
+        self.near_page: dict[str, np.ndarray] = {}  # vectors of words that are joined to a page
         self.shipped = frozenset(self.words) | frozenset(self.others)
         self.usual, self.sound = frozenset(self.words), set()
 
@@ -280,10 +399,18 @@ class Corrector:
             (self.words if f["usual"] else self.others)[f["word"]] = f["n"]
             if f["capital"]:
                 self.capitals.add(f["word"])
+            if f["fit"] is not None:
+                self.near_page[f["word"]] = np.reshape(f["fit"], (2, -1))
         yield self
         for f in facts or []:
             (self.words if f["usual"] else self.others).pop(f["word"], None)
             self.capitals.discard(f["word"])
+        self.near_page.clear()
+
+    def fit_of(self, word: str):
+        """The vectors of a usual word and of its context."""
+        i = self.ids.get(word)
+        return self.near_page.get(word) if i is None else (self.vectors[i], self.contexts[i])
 
     def candidates(self, word: str) -> list[str]:
         """Frequent words that one or two confusions make of ``word``; none for a word that is frequent itself."""
@@ -303,14 +430,14 @@ class Corrector:
         found = [w for w in self.candidates(word) if not capital or w in self.capitals]
         if not found:
             return None
-        near = [self.ids[w] for w in before[-NEAR:] + after[:NEAR] if w in self.ids]
-        own = self.contexts[near].mean(0) if near else None  # the vector of the rare word, from where it stands
+        near = [x[1] for w in before[-NEAR:] + after[:NEAR] if (x := self.fit_of(w)) is not None]
+        own = np.mean(near, 0) if near else None  # the vector of the rare word, from where it stands
 
         def fit(w: str) -> float:
-            return float(self.vectors[self.ids[w]] @ own) if near and w in self.ids else 0.0
+            return float(self.fit_of(w)[0] @ own) if near else 0.0
 
         if near and word.isalpha():  # a word with a digit or mark in it is no word of its own
-            found = [w for w in found if w not in self.ids or fit(w) >= self.least]
+            found = [w for w in found if fit(w) >= self.least]
         return max(found, key=lambda w: (0.5 * float(np.log(self.words[w])) + len(near) * fit(w), w)) if found else None
 
 
@@ -393,14 +520,23 @@ def inspect(text: str, corrector: Corrector) -> tuple[list[tuple[int, str]], dic
 
 
 def learn(pages: DataFrame) -> tuple[Corrector, DataFrame]:
-    """A corrector that has the WORDS most frequent words, and the table of all words."""
+    """A corrector that has the WORDS most frequent words with their vectors, and the table of all words with the vectors
+    (``fit``) of the usual ones beyond them."""
     counts = count_words(pages)
-    rows = counts.where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "word").limit(max(WORDS, VECTORS)).collect()
-    vectors = skip_grams(pages, {r["word"]: r["n"] for r in rows if r["usual"]})
-    rows = rows[:WORDS]
+    frequent = counts.where(F.col("n") >= FREQUENT)
+    rows = frequent.orderBy(F.desc("n"), "word").limit(WORDS).collect()
+    usual = frequent.where("usual").select("word", "n").toArrow()
+    named, vectors, contexts, least = skip_grams(pages, dict(zip(*(c.to_pylist() for c in usual.columns))))
     words = {r["word"]: r["n"] for r in rows if r["usual"]}
     capitals, names = {r["word"] for r in rows if r["capital"]}, {r["word"]: r["n"] for r in rows if not r["usual"]}
-    return Corrector(words, *vectors, capitals, names), counts
+    k = len(words)  # these come first
+    counts = counts.withColumn("fit", F.lit(None).cast("array<double>"))
+    if k < len(named):
+        both = np.hstack([vectors[k:], contexts[k:]])
+        offsets = np.arange(0, both.size + 1, both.shape[1], dtype=np.int32)
+        far = pages.sparkSession.createDataFrame(pa.table({"word": pa.array(named[k:], pa.string()), "fit": pa.ListArray.from_arrays(pa.array(offsets), pa.array(both.ravel()))}))
+        counts = counts.drop("fit").join(far, "word", "left")
+    return Corrector(words, named[:k], vectors[:k], contexts[:k], least, capitals, names), counts
 
 
 def keys_of(text: str, known: frozenset[str]) -> set[str]:
@@ -429,7 +565,7 @@ def keys_of(text: str, known: frozenset[str]) -> set[str]:
                 first = False
             last_here = forms
         last = last_here if not first else last
-    return {x for x in out if 1 < len(x) <= 80 and x not in known and any(c.isalpha() for c in x)}
+    return {x for x in out if x not in known and any(c.isalpha() for c in x)}
 
 
 def blanked(text: str, dropped: list[int] | set[int] | None) -> str:
@@ -438,7 +574,7 @@ def blanked(text: str, dropped: list[int] | set[int] | None) -> str:
 
 
 def with_facts(pages: DataFrame, shared, counts: DataFrame) -> DataFrame:
-    """``pages (page_id, natural_text, lines)`` with ``facts``: count, use and capital of the page's words that are not
+    """``pages (page_id, natural_text, lines)`` with ``facts``: count, use, capital and vectors of the page's words that are not
     among those shipped, and of such words that one or two confusions make of any of them. Words are joined, none
     is left out; two confusions meet at the text between them."""
 
@@ -466,7 +602,7 @@ def with_facts(pages: DataFrame, shared, counts: DataFrame) -> DataFrame:
             yield batch.filter(pa.array([w not in known.words and w not in known.others for w in batch.column(0).to_pylist()], pa.bool_()))
 
     asked = cut(pages.select("page_id", "natural_text", "lines").mapInArrow(keys, "page_id bigint, word string"))
-    rest = counts.where("n > 1").mapInArrow(unshipped, "word string, n bigint, usual boolean, capital boolean")
+    rest = counts.where("n > 1").mapInArrow(unshipped, "word string, n bigint, usual boolean, capital boolean, fit array<double>")
     facts = asked.join(rest, "word")
     targets = cut(rest.where("usual"))
     if not targets.isEmpty():
@@ -475,7 +611,7 @@ def with_facts(pages: DataFrame, shared, counts: DataFrame) -> DataFrame:
         links = left.join(right, "between").select("word", "target").distinct().where("word <> target")
         linked = asked.join(links, "word").select("page_id", F.col("target").alias("word")).distinct().join(targets, "word")
         facts = facts.unionByName(linked).distinct()
-    by_page = facts.groupBy("page_id").agg(F.collect_list(F.struct("word", "n", "usual", "capital")).alias("facts"))
+    by_page = facts.groupBy("page_id").agg(F.collect_list(F.struct("word", "n", "usual", "capital", "fit")).alias("facts"))
     return pages.join(by_page, "page_id", "left").select("page_id", "natural_text", "lines", "facts")
 
 
